@@ -15,6 +15,24 @@ DOMAINS = {
 
 DOMAIN_OF = {table: domain for domain, tables in DOMAINS.items() for table in tables}
 
+# Primary keys of the relational sources and ids of the feeds.
+SOURCE_KEYS = {
+    "customers": "customer_id",
+    "addresses": "address_id",
+    "customer_preferences": "preference_id",
+    "payment_methods": "payment_method_id",
+    "transactions": "transaction_id",
+    "refunds": "refund_id",
+    "user_sessions": "session_id",
+    "user_events": "event_id",
+    "category_engagement": "engagement_id",
+    "campaigns": "campaign_id",
+    "ads": "ad_id",
+    "impressions": "impression_id",
+    "clicks": "click_id",
+    "conversions": "conversion_id",
+}
+
 ENTITIES = tuple(DOMAIN_OF)
 FEEDS = DOMAINS["marketing"]
 MARTS = ("customer_summary", "campaign_summary")

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from tributary.operators.latest import latest_by_key
 
+# What a change log says was done to a row, and the value for a deletion.
+CHANGE_OP = "change_op"
+DELETE_OPS = ("D",)
+
 _IS_CHANGE = "__is_change"
 
 
@@ -42,8 +46,8 @@ def apply_changes(
     changes: DataFrame,
     keys: Sequence[str],
     order_by: Sequence[str],
-    op_column: str = "op",
-    delete_ops: Sequence[str] = ("D",),
+    op_column: str = CHANGE_OP,
+    delete_ops: Sequence[str] = DELETE_OPS,
     tie_break: Sequence[str] = (),
 ) -> DataFrame:
     """The table after all changes: per key the newest version, unless that deletes it.

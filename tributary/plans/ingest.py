@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tributary import names
 from tributary.functions.stamps import stamp_instant
-from tributary.sinks.audit import LoadRecord, now, write_log
+from tributary.sinks.audit import logged
 from tributary.sinks.layers import replace_snapshot
+from tributary.sources.jdbc import JdbcSource, read_table
 
 
 @dataclass(frozen=True)
@@ -31,6 +33,15 @@ class TableLoad:
         return f"{root}/{self.dataset}/{self.table}"
 
 
+def database_loads(source: JdbcSource, domain: str, name: str, partitions: int = 16) -> list[TableLoad]:
+    """Loads of all the domain's tables from ``source``, each read in ranges of its primary key."""
+
+    def reader(table: str) -> Callable[[SparkSession], DataFrame]:
+        return lambda spark: read_table(spark, source, table, names.SOURCE_KEYS[table], partitions)
+
+    return [TableLoad(table, reader(table), name, domain) for table in names.DOMAINS[domain]]
+
+
 class LoadError(RuntimeError):
     """Some loads failed; the others are done, and all are in the log."""
 
@@ -69,19 +80,11 @@ def ingest_tables(
     """
 
     def load(spec: TableLoad) -> int:
-        started, inserted, error = now(), None, None
-        try:
+        def snapshot(started: datetime) -> int:
             rows = spec.read(spark)
             stamped = stamp_instant(rows, started) if stamp is None else stamp(rows)
-            inserted = replace_snapshot(stamped, spec.path(root), started, keep_history)
-            return inserted
-        except Exception as failure:
-            error = str(failure)
-            raise
-        finally:
-            record = LoadRecord(
-                spec.source, spec.dataset, spec.table, started, now(), service, inserted=inserted, error=error
-            )
-            write_log(spark, root, [record])
+            return replace_snapshot(stamped, spec.path(root), started, keep_history)
+
+        return logged(spark, root, spec.source, spec.dataset, spec.table, service, snapshot)
 
     return run_all({spec.table: lambda spec=spec: load(spec) for spec in loads}, parallel)

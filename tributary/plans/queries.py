@@ -17,7 +17,7 @@ from tributary import names, schemas
 from tributary.functions.scalars import days_between, seconds_between, table_of_file, title_case
 from tributary.functions.stamps import LOCAL_ZONE, rename_present, stamp_instant, stamp_shifted
 from tributary.operators import marts
-from tributary.operators.changes import apply_changes
+from tributary.operators.changes import CHANGE_OP, apply_changes
 from tributary.operators.clean import SPECS, clean, conform
 from tributary.operators.latest import latest_by_key
 from tributary.operators.quality import key_violations, not_negative, present
@@ -202,7 +202,7 @@ def campaign_summary_by_conversion(spark: SparkSession, sf_dir: str) -> DataFram
 def _changes(events: DataFrame) -> DataFrame:
     return events.selectExpr(
         "user_id", "ts", "event_id", "event_type", "value",
-        "CASE WHEN event_type = 'error' THEN 'D' ELSE 'U' END AS op",
+        "CASE WHEN event_type = 'error' THEN 'D' ELSE 'U' END AS change_op",
     )
 
 
@@ -234,11 +234,9 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def change_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = work_folder(spark, "change-log")
-    table = CurrentTable(
-        f"{work}/current", ("user_id",), ("ts",), ("event_id",), buckets=16, op_column="op"
-    )
-    base = _customers_before_changes(spark, sf_dir).withColumn("op", F.lit(None).cast("string"))
-    table.merge(base)
+    table = CurrentTable(f"{work}/current", ("user_id",), ("ts",), ("event_id",), buckets=16)
+    base = _customers_before_changes(spark, sf_dir)
+    table.merge(base.withColumn(CHANGE_OP, F.lit(None).cast("string")))
     keep_current(_changes(_event_stream(spark, sf_dir)), table, f"{work}/checkpoint").awaitTermination()
     return table.read(spark)
 

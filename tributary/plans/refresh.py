@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +11,15 @@ from tributary import names, schemas
 from tributary.operators import marts
 from tributary.operators.clean import SPECS, clean
 from tributary.plans.ingest import run_all
-from tributary.sinks.audit import LoadRecord, now, write_log
+from tributary.sinks.audit import logged, now
 from tributary.sinks.layers import refresh_catalog, replace_snapshot
 from tributary.sources.tables import read_raw, read_snapshot
 from tributary.storage import Folder
 
 
+SERVICE = "SPARK"
+
+
 def read_transformed(spark: SparkSession, root: str, table: str) -> DataFrame:
     return read_snapshot(spark, names.transformed_path(root, table), schemas.TRANSFORMED[table])
 
@@ -52,18 +55,13 @@ def refresh(
     run_time = run_time or now()
     tie_breaks = tie_breaks or {}
 
-    def replace(build, source: str, schema: str, table: str, path: str) -> int:
-        started, inserted, error = now(), None, None
-        try:
-            inserted = replace_snapshot(build(), path, run_time, keep_history)
+    def replace(build: Callable[[], DataFrame], source: str, schema: str, table: str, path: str) -> int:
+        def snapshot(_started: datetime) -> int:
+            rows = replace_snapshot(build(), path, run_time, keep_history)
             refresh_catalog(spark, schema, table)
-            return inserted
-        except Exception as failure:
-            error = str(failure)
-            raise
-        finally:
-            record = LoadRecord(source, schema, table, started, now(), "SPARK", inserted=inserted, error=error)
-            write_log(spark, root, [record])
+            return rows
+
+        return logged(spark, root, source, schema, table, SERVICE, snapshot)
 
     def clean_table(table: str) -> int:
         domain = names.DOMAIN_OF[table]
@@ -77,7 +75,7 @@ def refresh(
             names.transformed_path(root, table),
         )
 
-    def build_mart(mart: str, build) -> int:
+    def build_mart(mart: str, build: Callable[[], DataFrame]) -> int:
         return replace(build, "transformed", names.CURATED, mart, names.curated_path(root, mart))
 
     def read(table: str) -> DataFrame:
@@ -85,15 +83,14 @@ def refresh(
 
     def customer_mart() -> DataFrame:
         summary = marts.customer_summary_exact if exact else marts.customer_summary
-        # Cleaning left one row per transaction and session id.
         return summary(
-            read("customers"), read("transactions"), read("user_sessions"), unique_ids=True, run_time=run_time
+            read("customers"), read("transactions"), read("user_sessions"), keyed=True, run_time=run_time
         )
 
     def campaign_mart() -> DataFrame:
         if exact:
-            return marts.campaign_summary_by_conversion(read("campaigns"), read("conversions"), run_time=run_time)
-        return marts.campaign_summary(read("campaigns"), read("transactions"), run_time=run_time)
+            return marts.campaign_summary_by_conversion(read("campaigns"), read("conversions"), keyed=True, run_time=run_time)
+        return marts.campaign_summary(read("campaigns"), read("transactions"), keyed=True, run_time=run_time)
 
     chosen = arrived(spark, root) if tables is None else tables
     counts = run_all({table: lambda table=table: clean_table(table) for table in chosen}, parallel)

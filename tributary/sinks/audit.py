@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,7 +62,8 @@ def write_log(spark: SparkSession, root: str, records: list[LoadRecord]) -> None
     logged_at = now()
     rows = spark.createDataFrame([r.values(logged_at) for r in records], schemas.struct(schemas.AUDIT))
     (
-        rows.withColumn(LOG_DATE, F.lit(logged_at.date()))
+        rows.coalesce(1)
+        .withColumn(LOG_DATE, F.lit(logged_at.date()))
         .write.partitionBy(LOG_DATE, "RUN_ID")
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -69,6 +71,29 @@ def write_log(spark: SparkSession, root: str, records: list[LoadRecord]) -> None
     )
 
 
+def logged(
+    spark: SparkSession,
+    root: str,
+    source: str,
+    dataset: str,
+    table: str,
+    service: str,
+    load: Callable[[datetime], int],
+    run_id: str | None = None,
+) -> int:
+    """Run ``load`` with its start time, log its row count or its error, and pass either on."""
+    started, inserted, error = now(), None, None
+    try:
+        inserted = load(started)
+        return inserted
+    except Exception as failure:
+        error = str(failure)
+        raise
+    finally:
+        record = LoadRecord(source, dataset, table, started, now(), service, inserted=inserted, error=error)
+        write_log(spark, root, [record if run_id is None else replace(record, run_id=run_id)])
+
+
 def read_log(spark: SparkSession, root: str) -> DataFrame:
     """The log with one entry per load; a load that was retried under its run id shows its last outcome."""
     entries = spark.read.schema(f"{schemas.AUDIT}, {LOG_DATE} DATE").parquet(names.audit_path(root))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tributary import schemas
+from tributary.operators.changes import CHANGE_OP, DELETE_OPS, without_deletions
 from tributary.storage import Folder
 
 INGESTION_DATE = "ingestion_date"
 LOAD_ID = "load_id"
+KEY_BUCKET = "key_bucket"
 
 
 def read_snapshot(spark: SparkSession, path: str, ddl: str | None = None, date: str | None = None) -> DataFrame:
@@ -34,7 +36,16 @@ def read_appended(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """A raw table, be it a replaced snapshot or an append table."""
-    if Folder(spark, path).partition_values(INGESTION_DATE):
+    """A raw table, be it a replaced snapshot, a replica kept by its change log, or an append table."""
+    folder = Folder(spark, path)
+    if folder.partition_values(INGESTION_DATE):
         return read_snapshot(spark, path)
+    if folder.partition_values(KEY_BUCKET):
+        return read_current(spark, path)
     return read_appended(spark, path)
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a current-state table; of a replica, those that were not deleted last."""
+    rows = spark.read.parquet(path).drop(KEY_BUCKET)
+    return without_deletions(rows, CHANGE_OP, DELETE_OPS) if CHANGE_OP in rows.columns else rows

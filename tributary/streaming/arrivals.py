@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +20,8 @@ from pyspark.sql.streaming import StreamingQuery
 from tributary import names, schemas
 from tributary.functions.scalars import table_of_file
 from tributary.functions.stamps import rename_present, stamp_instant
-from tributary.plans.ingest import LoadError
-from tributary.sinks.audit import LoadRecord, now, write_log
+from tributary.plans.ingest import LoadError, run_all
+from tributary.sinks.audit import logged
 from tributary.sinks.layers import append_load
 from tributary.sources.delimited import read_delimited
 
@@ -74,7 +75,12 @@ def _escaped(path: str) -> str:
 
 
 def batch_loader(
-    spark: SparkSession, root: str, stream_name: str, on_failure: str = "raise", multi_line: bool = True
+    spark: SparkSession,
+    root: str,
+    stream_name: str,
+    on_failure: str = "raise",
+    multi_line: bool = True,
+    parallel: int = 4,
 ) -> Callable[[DataFrame, int], None]:
     """What to do with each micro-batch of arrived files.
 
@@ -86,25 +92,26 @@ def batch_loader(
     """
 
     def load_batch(files: DataFrame, batch_id: int) -> None:
-        failures: dict[str, Exception] = {}
-        records = []
-        for table, paths in files_by_table(files).items():
-            started, inserted, error = now(), None, None
-            load_id = f"{stream_name}-{batch_id}"
-            try:
-                inserted = load_files(spark, root, table, paths, load_id, started, multi_line)
-            except Exception as failure:
-                error = str(failure)
-                failures[table] = failure
-            records.append(
-                LoadRecord(
-                    SOURCE_NAME, names.raw_schema("marketing"), table, started, now(), SERVICE,
-                    inserted=inserted, error=error, run_id=f"{load_id}-{table}",
-                )
+        load_id = f"{stream_name}-{batch_id}"
+
+        def load_feed(table: str, paths: list[str]) -> int:
+            return logged(
+                spark,
+                root,
+                SOURCE_NAME,
+                names.raw_schema("marketing"),
+                table,
+                SERVICE,
+                lambda started: load_files(spark, root, table, paths, load_id, started, multi_line),
+                run_id=f"{load_id}-{table}",
             )
-        write_log(spark, root, records)
-        if failures and on_failure == "raise":
-            raise LoadError(failures)
+
+        feeds = files_by_table(files)
+        try:
+            run_all({table: partial(load_feed, table, paths) for table, paths in feeds.items()}, parallel)
+        except LoadError:
+            if on_failure == "raise":
+                raise
 
     return load_batch
 

@@ -13,20 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tributary.operators.changes import without_deletions
+from tributary import names
 from tributary.operators.latest import latest_by_key
+from tributary.sources.tables import KEY_BUCKET, read_current
 from tributary.storage import Folder
 
-BUCKET = "key_bucket"
-
 
 @dataclass(frozen=True)
 class CurrentTable:
-    """A current-state table: where it is and what its newest row means.
+    """A current-state table: where it is and which of a key's rows is newest.
 
     ``buckets`` should make one bucket of the whole table a comfortable task,
-    some hundred MB; it cannot change later.  With ``op_column`` the stream is a
-    change log: deleted keys stay in the files, marked, and are left out when
+    some hundred MB; it cannot change later.  If the rows carry a change
+    operation, deleted keys stay in the files, marked, and are left out when
     read, so a late, older change cannot revive them.
     """
 
@@ -35,51 +34,39 @@ class CurrentTable:
     order_by: tuple[str, ...]
     tie_break: tuple[str, ...] = ()
     buckets: int = 64
-    op_column: str | None = None
-    delete_ops: tuple[str, ...] = ("D",)
 
     @property
     def _staging(self) -> str:
         return f"{self.path}__staging"
 
-    def _stored(self, spark: SparkSession) -> DataFrame | None:
-        if not Folder(spark, self.path).partition_values(BUCKET):
-            return None
-        return spark.read.parquet(self.path)
-
     def read(self, spark: SparkSession) -> DataFrame:
-        stored = self._stored(spark)
-        if stored is None:
-            raise FileNotFoundError(f"nothing was loaded into {self.path} yet")
-        rows = stored.drop(BUCKET)
-        return rows if self.op_column is None else without_deletions(rows, self.op_column, self.delete_ops)
+        return read_current(spark, self.path)
 
-    def _newest(self, df: DataFrame) -> DataFrame:
-        return latest_by_key(df, self.keys, self.order_by, self.tie_break)
-
-    def _bucketed(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(BUCKET, F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+    def _with_bucket(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(KEY_BUCKET, F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
 
     def _merged(self, batch: DataFrame) -> DataFrame:
         """The new content of the buckets that ``batch`` touches."""
         spark = batch.sparkSession
         # One row per key before anything else: a hot key in the batch ends here.
-        fresh = self._bucketed(self._newest(batch))
-        stored = self._stored(spark)
-        if stored is not None:
-            touched = self._bucketed(batch.select(*self.keys)).select(BUCKET).distinct()
+        rows = self._with_bucket(latest_by_key(batch, self.keys, self.order_by, self.tie_break))
+        if Folder(spark, self.path).partition_values(KEY_BUCKET):
+            touched = self._with_bucket(batch.select(*self.keys)).select(KEY_BUCKET).distinct()
             # At most ``buckets`` small numbers; as literals they prune the scan.
-            numbers = [row[BUCKET] for row in touched.collect()]
-            fresh = stored.filter(F.col(BUCKET).isin(numbers)).unionByName(fresh)
-        # One shuffle serves both the choice of the newest row, which then holds at
-        # most two per key, and the write: a bucket is one task and one file.
-        return latest_by_key(fresh.repartition(BUCKET), [BUCKET, *self.keys], self.order_by, self.tie_break)
+            numbers = [row[KEY_BUCKET] for row in touched.collect()]
+            stored = spark.read.parquet(self.path).filter(F.col(KEY_BUCKET).isin(numbers))
+            rows = stored.unionByName(rows)
+        # One shuffle serves both the choice of the newest of a key's two rows and
+        # the write: a bucket is one task and one file.
+        return latest_by_key(
+            rows.repartition(KEY_BUCKET), [KEY_BUCKET, *self.keys], self.order_by, self.tie_break
+        )
 
     def merge(self, batch: DataFrame, batch_id: int | None = None) -> None:
         """Bring the rows of ``batch`` in.  The same batch again changes nothing."""
         spark = batch.sparkSession
         self._put_in_place(spark)
-        self._merged(batch).write.partitionBy(BUCKET).mode("overwrite").parquet(self._staging)
+        self._merged(batch).write.partitionBy(KEY_BUCKET).mode("overwrite").parquet(self._staging)
         self._put_in_place(spark)
 
     def _put_in_place(self, spark: SparkSession) -> None:
@@ -92,10 +79,10 @@ class CurrentTable:
         staged, complete = Folder(spark, self._staging), Folder(spark, f"{self._staging}/_SUCCESS")
         if not complete.exists():
             return
-        if staged.partition_values(BUCKET):
+        if staged.partition_values(KEY_BUCKET):
             (
                 spark.read.parquet(self._staging)
-                .write.partitionBy(BUCKET)
+                .write.partitionBy(KEY_BUCKET)
                 .mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic")
                 .parquet(self.path)
@@ -104,6 +91,17 @@ class CurrentTable:
         staged.remove()
 
 
+def replica(
+    root: str, table: str, order_by: tuple[str, ...], tie_break: tuple[str, ...] = (), buckets: int = 64
+) -> CurrentTable:
+    """The raw table of ``table`` as its change log keeps it, newest by ``order_by``.
+
+    The stream merged into it has the source's columns and the operation in
+    ``change_op``; the refresh reads the table like any other raw table.
+    """
+    return CurrentTable(names.raw_path(root, table), (names.SOURCE_KEYS[table],), order_by, tie_break, buckets)
+
+
 def keep_current(
     stream: DataFrame, table: CurrentTable, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
