@@ -1,0 +1,138 @@
+from datetime import datetime, timedelta, timezone
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import rows_of
+from raw_samples import ROWS, T
+from tributary import names, schemas
+from tributary.functions.stamps import stamp_shifted
+from tributary.plans.ingest import LoadError, TableLoad, ingest_tables
+from tributary.plans.refresh import arrived, read_curated, read_transformed, refresh
+from tributary.sinks.audit import read_log
+from tributary.sinks.layers import append_load
+from tributary.sources.tables import read_raw
+
+
+def sample(entity):
+    return lambda spark: spark.createDataFrame(ROWS[entity], schemas.SOURCE[entity])
+
+
+def load_of(entity):
+    return TableLoad(entity, sample(entity), "SAMPLES", names.DOMAIN_OF[entity])
+
+
+def test_from_sources_to_marts(spark, folder):
+    counts = ingest_tables(spark, folder, [load_of(e) for e in names.ENTITIES])
+    assert counts == {e: len(rows) for e, rows in ROWS.items()}
+    assert arrived(spark, folder) == list(names.ENTITIES)
+    refreshed = refresh(spark, folder)
+    assert refreshed["customers"] == 3 and refreshed["refunds"] == 1 and refreshed["conversions"] == 4
+    summary = read_curated(spark, folder, "customer_summary").drop("ingestion_time")
+    assert rows_of(summary) == [
+        (1, "Amit", "Sharma", 2, Decimal("800"), 1),
+        (2, "Priya", "Patil", 1, Decimal("1200"), 1),
+        (3, "Rahul", "Verma", 0, None, 0),
+    ]
+    revenue = rows_of(read_curated(spark, folder, "campaign_summary"), "campaign_id", "total_revenue")
+    assert revenue == [(1, Decimal("800")), (2, Decimal("1200")), (3, None)]
+    log = read_log(spark, folder)
+    assert log.count() == 14 + 14 + 2 and log.filter("STATUS <> 'succeeded'").count() == 0
+
+
+def test_refreshing_again_gives_the_same_tables(spark, folder):
+    tables = ["customers", "transactions", "user_sessions", "campaigns"]
+    ingest_tables(spark, folder, [load_of(e) for e in tables])
+    day = datetime(2026, 1, 1, tzinfo=timezone.utc)
+    for run in (day, day + timedelta(minutes=30), day + timedelta(days=1)):
+        refresh(spark, folder, run_time=run)
+    summary = read_curated(spark, folder, "customer_summary")
+    assert summary.agg(F.sum("total_spent")).first()[0] == 2000
+    assert summary.select(F.to_date("ingestion_time")).distinct().collect()[0][0] == (day + timedelta(days=1)).date()
+
+
+def test_versions_appended_to_raw_are_cleaned_to_the_newest(spark, folder):
+    for e in ("customers", "transactions", "user_sessions", "campaigns"):
+        if e != "transactions":
+            ingest_tables(spark, folder, [load_of(e)])
+    path = names.raw_path(folder, "transactions")
+    append_load(sample("transactions")(spark), path, "s-0")
+    later = [(1, 1, Decimal("650.00"), "INR", T + timedelta(hours=1), "success", 1)]
+    append_load(spark.createDataFrame(later, schemas.SOURCE["transactions"]), path, "s-1")
+    assert read_raw(spark, path).count() == 4
+    refresh(spark, folder)
+    assert rows_of(read_transformed(spark, folder, "transactions"), "transaction_id", "amount") == [
+        (1, Decimal("650")), (2, Decimal("1200")), (3, Decimal("300")),
+    ]
+
+
+def test_exact_marts(spark, folder):
+    ingest_tables(
+        spark, folder, [load_of(e) for e in ("customers", "transactions", "user_sessions", "campaigns", "conversions")]
+    )
+    refresh(spark, folder, exact=True)
+    revenue = rows_of(read_curated(spark, folder, "campaign_summary"), "campaign_id", "total_revenue")
+    assert revenue == [(1, Decimal("1200.5")), (2, Decimal("2200")), (3, Decimal("800.75"))]
+
+
+def broken(spark):
+    raise ConnectionError("host is down")
+
+
+def test_a_failing_table_is_logged_and_the_others_are_loaded(spark, folder):
+    loads = [load_of("customers"), TableLoad("addresses", broken, "SAMPLES"), load_of("customer_preferences")]
+    with pytest.raises(LoadError, match="addresses: host is down") as caught:
+        ingest_tables(spark, folder, loads)
+    assert list(caught.value.failures) == ["addresses"]
+    assert rows_of(read_log(spark, folder), "BQ_TABLE_NAME", "RECORDS_INSERTED", "STATUS", "ERROR") == [
+        ("addresses", None, "failed", "host is down"),
+        ("customer_preferences", 2, "succeeded", None),
+        ("customers", 3, "succeeded", None),
+    ]
+
+
+def test_a_row_that_fails_to_load_leaves_the_old_raw_table(spark, folder):
+    ingest_tables(spark, folder, [load_of("customers")])
+
+    def unreadable(session):
+        return sample("customers")(session).withColumn("phone", F.raise_error(F.lit("broken row")))
+
+    with pytest.raises(LoadError, match="broken row"):
+        ingest_tables(spark, folder, [TableLoad("customers", unreadable, "SAMPLES")])
+    assert read_raw(spark, names.raw_path(folder, "customers")).count() == 3
+
+
+def test_marts_are_not_built_from_a_layer_that_failed(spark, folder):
+    ingest_tables(spark, folder, [load_of(e) for e in ("customers", "transactions", "campaigns")])
+    bad = spark.createDataFrame([(1,)], "session_id INT")
+    append_load(bad, names.raw_path(folder, "user_sessions"), "s-0")
+    with pytest.raises(LoadError, match="user_sessions"):
+        refresh(spark, folder)
+    assert read_transformed(spark, folder, "customers").count() == 3
+    assert read_curated(spark, folder, "customer_summary").count() == 0
+
+
+def test_the_stamp_is_a_parameter(spark, folder):
+    ingest_tables(spark, folder, [load_of("addresses")], stamp=stamp_shifted)
+    raw = read_raw(spark, names.raw_path(folder, "addresses"))
+    ahead = F.timestamp_diff("MINUTE", F.current_timestamp(), F.col("created_at"))
+    # Loaded moments ago, on a clock five and a half hours ahead.
+    assert {row[0] for row in raw.select(ahead).collect()} <= {328, 329, 330}
+
+
+def test_rows_are_read_once(spark, folder):
+    """The logged count comes from the write itself."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def counting(session):
+        def note(batches):
+            for batch in batches:
+                reads.add(batch.num_rows)
+                yield batch
+
+        df = session.range(1000)
+        return df.mapInArrow(note, df.schema)
+
+    assert ingest_tables(spark, folder, [TableLoad("customers", counting, "SAMPLES")]) == {"customers": 1000}
+    assert reads.value == 1000

@@ -15,16 +15,16 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, as the session names it.
 
     Only a local session, where driver and executors are one process, may go
-    without: it gets a temporary folder, which then is the session's setting.
+    without: it gets a temporary folder as its checkpoint folder.
     """
-    folder = spark.conf.get(CHECKPOINT_SETTING, None)
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="tributary-")
-    spark.conf.set(CHECKPOINT_SETTING, folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="tributary-"))
+    return context.getCheckpointDir()
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
