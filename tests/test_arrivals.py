@@ -134,3 +134,13 @@ def test_files_of_any_size_are_discovered_without_reading_them(drop, spark):
     finally:
         spark.conf.unset(limit)
     assert drop.raw("ads").count() == 1
+
+
+@pytest.mark.parametrize("split_above", [0, 2**40])
+def test_large_files_give_the_same_rows(drop, split_above):
+    lines = "".join(f'{i},1,Banner,"no ""{i}"", or",2026-09-25 10:00:00\n' for i in range(300))
+    drop.put("ads.1.csv", ADS + lines)
+    drop.put("ads.2.csv", ADS + '300,1,Banner,"two\nlines",2026-09-25 10:00:00\n')
+    drop.run(split_above=split_above)
+    headlines = dict(rows_of(drop.raw("ads"), "ad_id", "headline"))
+    assert headlines == {i: f'no "{i}", or' for i in range(300)} | {300: "two\nlines"}

@@ -27,6 +27,14 @@ def test_a_snapshot_replaces_the_whole_table(spark, folder):
     assert read_snapshot(spark, path).columns == ["id", "v"] and read_snapshot(spark, path).count() == 4
 
 
+def test_writing_a_snapshot_sorts_nothing(spark, folder):
+    replace_snapshot(spark.range(10).selectExpr("id", "id + 1 AS v"), f"{folder}/t", DAY)
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size())]
+    (plan,) = [p for p in plans if f"{folder}/t" in p]
+    assert "CollectMetrics" in plan and "Sort" not in plan
+
+
 def test_snapshots_can_be_kept_by_date(spark, folder):
     path = f"{folder}/t"
     replace_snapshot(numbers(spark, 10), path, DAY, keep_history=True)

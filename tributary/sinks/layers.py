@@ -12,15 +12,18 @@ from tributary.sources.tables import INGESTION_DATE, LOAD_ID
 from tributary.storage import Folder, count_rows
 
 
-def _replace_partitions(df: DataFrame, path: str, column: str, file_format: str) -> int:
-    """Replace just the partitions that ``df`` has rows for; return how many rows were written.
+def _replace_partition(df: DataFrame, path: str, column: str, value: object, file_format: str) -> int:
+    """Make ``df`` the content of one partition, unless it is empty; return how many rows were written.
 
     Spark stages the files and moves them in when all tasks are done, so a lost
-    executor or a failing source leaves the old partitions as they were.
+    executor or a failing source leaves the old partition as it was.  The
+    partition column comes after the count: there the optimizer sees that it is
+    one constant, and does not sort the rows by it.
     """
     written = Observation()
     (
         count_rows(df, written)
+        .withColumn(column, F.lit(value))
         .write.format(file_format)
         .partitionBy(column)
         .mode("overwrite")
@@ -41,7 +44,7 @@ def replace_snapshot(
     is of the rows written and the source is read once.
     """
     date = run_time.astimezone(timezone.utc).date()
-    rows = _replace_partitions(df.withColumn(INGESTION_DATE, F.lit(date)), path, INGESTION_DATE, file_format)
+    rows = _replace_partition(df, path, INGESTION_DATE, date, file_format)
     if rows == 0:
         # No row, no partition: leave an empty one, or an older snapshot would pass for the latest.
         df.limit(0).write.format(file_format).mode("overwrite").save(f"{path}/{INGESTION_DATE}={date}")
@@ -57,7 +60,7 @@ def append_load(df: DataFrame, path: str, load_id: int | str, file_format: str =
 
     Repeating a load replaces its own rows, so a retried batch adds nothing twice.
     """
-    return _replace_partitions(df.withColumn(LOAD_ID, F.lit(load_id)), path, LOAD_ID, file_format)
+    return _replace_partition(df, path, LOAD_ID, load_id, file_format)
 
 
 def _create_database(spark: SparkSession, root: str, schema: str) -> None:

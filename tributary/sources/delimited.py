@@ -17,6 +17,12 @@ MISSING = (
 )
 
 
+# One line that is a whole record: cells without quotes, or quoted cells with
+# their quotes doubled.
+_CELL = r'(?:[^",\r]*+|"(?:[^"\r]++|"")*+")'
+_WHOLE_RECORD = rf"^{_CELL}(?:,{_CELL})*+\r?$"
+
+
 def _present(name: str) -> Column:
     cell = F.col(f"`{name}`")
     return F.when(~cell.isin(*MISSING), cell)
@@ -36,8 +42,9 @@ def read_delimited(
     The header must carry the schema's columns in its order, or reading fails.
     Without a schema the header names the columns and all are strings.
 
-    Quoted cells may hold line ends, so a file is read by one task.  For large
-    files that are known to have none, ``multi_line=False`` splits them.
+    Quoted cells may hold line ends, so a file is read by one task.  A file that
+    has none there, see :func:`lines_are_records`, can be split among many with
+    ``multi_line=False``.
     """
     reader = (
         spark.read.option("header", True)
@@ -57,3 +64,14 @@ def read_delimited(
     if schema is None:
         return present
     return present.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
+
+
+def lines_are_records(spark: SparkSession, path: str) -> bool:
+    """Whether every line of the file is a whole record.
+
+    Then each line starts one and ends it, so reading line by line, in parallel,
+    gives what reading from the start gives.  The check is parallel as well, and
+    ends at the first line that is not.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.filter(~F.col("value").rlike(_WHOLE_RECORD)).isEmpty()

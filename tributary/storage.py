@@ -68,6 +68,7 @@ class Folder:
 def count_rows(df: DataFrame, observation) -> DataFrame:
     """Count rows while they are written; ``observation.get['rows']`` after the action.
 
-    Put it last before the write, so that it counts in the writing stage.
+    Put it after the last shuffle, so that it counts in the writing stage: there
+    a task that is run again for a lost one does not count twice.
     """
     return df.observe(observation, F.count(F.lit(1)).alias("rows"))

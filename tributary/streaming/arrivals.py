@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from tributary import names, schemas
 from tributary.functions.scalars import table_of_file
@@ -23,16 +24,19 @@ from tributary.functions.stamps import rename_present, stamp_instant
 from tributary.plans.ingest import LoadError, run_all
 from tributary.sinks.audit import logged
 from tributary.sinks.layers import append_load
-from tributary.sources.delimited import read_delimited
+from tributary.sources.delimited import lines_are_records, read_delimited
 
 SOURCE_NAME = "FILE_DROP"
 SERVICE = "SPARK_STREAMING"
 
+# Files longer than this are checked for being splittable.
+SPLIT_ABOVE = 256 * 1024 * 1024
+
 _FILE_COLUMNS = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 
 def discover(spark: SparkSession, inbox: str, archive: str | None = None, files_per_batch: int = 1000) -> DataFrame:
-    """Stream of the paths that arrive in ``inbox``.
+    """Stream of the paths and lengths of files that arrive in ``inbox``.
 
     With ``archive``, files move there once their batch is committed; those of
     the last batch move when the stream next runs.
@@ -44,28 +48,44 @@ def discover(spark: SparkSession, inbox: str, archive: str | None = None, files_
     )
     if archive is not None:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    return reader.load(inbox).select("path")
+    return reader.load(inbox).select("path", "length")
+
+
+def files_by_table(files: DataFrame) -> dict[str, list[tuple[str, int]]]:
+    """Paths and lengths of a batch's files by target table, at most ``files_per_batch`` in all."""
+    routed = files.select(table_of_file(F.col("path")).alias("table"), F.struct("path", "length").alias("file"))
+    groups = routed.groupBy("table").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return {row["table"]: [(file["path"], file["length"]) for file in row["files"]] for row in groups.collect()}
 
 
-def files_by_table(files: DataFrame) -> dict[str, list[str]]:
-    """Group a batch's files by target table.  Names only, at most ``files_per_batch`` of them."""
-    routed = files.select("path", table_of_file(F.col("path")).alias("table"))
-    groups = routed.groupBy("table").agg(F.sort_array(F.collect_list("path")).alias("paths"))
-    return {row["table"]: row["paths"] for row in groups.collect()}
+def read_files(
+    spark: SparkSession, files: list[tuple[str, int]], schema: StructType | None, split_above: int
+) -> DataFrame:
+    """Read files of one table, large ones by many tasks wherever their lines allow it."""
+    whole, split = [], []
+    for path, length in files:
+        literal = _escaped(path)
+        (split if length > split_above and lines_are_records(spark, literal) else whole).append(literal)
+    parts = [
+        read_delimited(spark, paths, schema, multi_line=multi_line)
+        for paths, multi_line in ((whole, True), (split, False))
+        if paths
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def load_files(
     spark: SparkSession,
     root: str,
     table: str,
-    paths: list[str],
+    files: list[tuple[str, int]],
     load_id: str,
     run_start: datetime,
-    multi_line: bool = True,
+    split_above: int = SPLIT_ABOVE,
 ) -> int:
     """Read one table's files, stamp and rename, and append them; return the row count."""
     schema = schemas.struct(schemas.SOURCE[table]) if table in names.FEEDS else None
-    rows = read_delimited(spark, [_escaped(p) for p in paths], schema, multi_line=multi_line)
+    rows = read_files(spark, files, schema, split_above)
     return append_load(rename_present(stamp_instant(rows, run_start)), names.raw_path(root, table), load_id)
 
 
@@ -79,7 +99,7 @@ def batch_loader(
     root: str,
     stream_name: str,
     on_failure: str = "raise",
-    multi_line: bool = True,
+    split_above: int = SPLIT_ABOVE,
     parallel: int = 4,
 ) -> Callable[[DataFrame, int], None]:
     """What to do with each micro-batch of arrived files.
@@ -94,7 +114,7 @@ def batch_loader(
     def load_batch(files: DataFrame, batch_id: int) -> None:
         load_id = f"{stream_name}-{batch_id}"
 
-        def load_feed(table: str, paths: list[str]) -> int:
+        def load_feed(table: str, found: list[tuple[str, int]]) -> int:
             return logged(
                 spark,
                 root,
@@ -102,13 +122,13 @@ def batch_loader(
                 names.raw_schema("marketing"),
                 table,
                 SERVICE,
-                lambda started: load_files(spark, root, table, paths, load_id, started, multi_line),
+                lambda started: load_files(spark, root, table, found, load_id, started, split_above),
                 run_id=f"{load_id}-{table}",
             )
 
         feeds = files_by_table(files)
         try:
-            run_all({table: partial(load_feed, table, paths) for table, paths in feeds.items()}, parallel)
+            run_all({table: partial(load_feed, table, found) for table, found in feeds.items()}, parallel)
         except LoadError:
             if on_failure == "raise":
                 raise
@@ -125,17 +145,18 @@ def ingest_arrivals(
     stream_name: str = "arrivals",
     files_per_batch: int = 1000,
     on_failure: str = "raise",
-    multi_line: bool = True,
+    split_above: int = SPLIT_ABOVE,
     every: str | None = None,
 ) -> StreamingQuery:
     """Start loading ``inbox`` into the raw layer under ``root``.
 
     By default it loads what is there and ends; with ``every`` (such as
     ``"30 minutes"``) it keeps going.  ``stream_name`` must stay the same for
-    the life of the checkpoint, and differ between streams on one root.
+    the life of the checkpoint, and differ between streams on one root.  Files
+    of more than ``split_above`` bytes are read by many tasks where possible.
     """
     files = discover(spark, inbox, archive, files_per_batch)
-    writer = files.writeStream.foreachBatch(batch_loader(spark, root, stream_name, on_failure, multi_line)).option(
+    writer = files.writeStream.foreachBatch(batch_loader(spark, root, stream_name, on_failure, split_above)).option(
         "checkpointLocation", checkpoint
     )
     writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
