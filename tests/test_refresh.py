@@ -11,7 +11,7 @@ from tributary.functions.stamps import stamp_shifted
 from tributary.plans.ingest import LoadError, TableLoad, ingest_tables
 from tributary.plans.refresh import arrived, read_curated, read_transformed, refresh
 from tributary.sinks.audit import read_log
-from tributary.sinks.layers import append_load
+from tributary.sinks.layers import append_load, set_up_layers
 from tributary.sources.tables import read_raw
 
 
@@ -41,6 +41,18 @@ def test_from_sources_to_marts(spark, folder):
     assert log.count() == 14 + 14 + 2 and log.filter("STATUS <> 'succeeded'").count() == 0
 
 
+def test_all_layers_can_be_queried_by_name(spark, folder):
+    set_up_layers(spark, folder)
+    ingest_tables(spark, folder, [load_of(e) for e in names.ENTITIES])
+    refresh(spark, folder)
+    assert spark.table("raw_payments.transactions").count() == 3
+    assert spark.table("transformed_payments.transactions").filter("status = 'FAILED'").count() == 1
+    assert spark.sql("SELECT sum(total_spent) FROM curated.customer_summary").first()[0] == 2000
+    for row in spark.sql("SHOW DATABASES").collect():
+        if row[0] != "default":
+            spark.sql(f"DROP DATABASE {row[0]} CASCADE")
+
+
 def test_refreshing_again_gives_the_same_tables(spark, folder):
     tables = ["customers", "transactions", "user_sessions", "campaigns"]
     ingest_tables(spark, folder, [load_of(e) for e in tables])

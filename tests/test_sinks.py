@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from conftest import rows_of
 from tributary import names, schemas
 from tributary.sinks.audit import logged, now, read_log
-from tributary.sinks.layers import append_load, refresh_catalog, replace_snapshot, set_up_layers
+from tributary.sinks.layers import append_load, publish, replace_snapshot, set_up_layers
 from tributary.sources.tables import read_appended, read_raw, read_snapshot
 from tributary.storage import CHECKPOINT_SETTING, Folder, shared_folder, work_folder
 
@@ -83,6 +83,28 @@ def test_a_table_that_has_nothing_yet(spark, folder):
         read_snapshot(spark, f"{folder}/none")
 
 
+def drop_layers(spark):
+    for row in spark.sql("SHOW DATABASES").collect():
+        if row[0] != "default":
+            spark.sql(f"DROP DATABASE {row[0]} CASCADE")
+
+
+def test_raw_tables_appear_with_their_first_load_and_follow_its_columns(spark, folder):
+    set_up_layers(spark, folder)
+    path = names.raw_path(folder, "ads")
+    for load, rows in enumerate([spark.range(3), spark.range(4), numbers(spark, 2)]):
+        append_load(rows, path, f"s-{load}")
+        publish(spark, "raw_marketing", "ads", path)
+        assert spark.table("raw_marketing.ads").count() == [3, 7, 9][load]
+    drop_layers(spark)
+
+
+def test_without_the_layers_nothing_is_published(spark, folder):
+    append_load(spark.range(3), f"{folder}/t", "s-0")
+    publish(spark, "raw_marketing", "ads", f"{folder}/t")
+    assert not spark.catalog.databaseExists("raw_marketing")
+
+
 def test_layers_are_set_up_once_and_see_new_snapshots(spark, folder):
     set_up_layers(spark, folder)
     set_up_layers(spark, folder)
@@ -100,11 +122,10 @@ def test_layers_are_set_up_once_and_see_new_snapshots(spark, folder):
     rows = spark.createDataFrame([(1, "a", "b", None, None)], schemas.CURATED["campaign_summary"])
     for run in (DAY, DAY + timedelta(days=1)):
         replace_snapshot(rows, path, run)
-        refresh_catalog(spark, "curated", "campaign_summary")
+        publish(spark, "curated", "campaign_summary", path)
         table = spark.table("curated.campaign_summary")
         assert rows_of(table, "campaign_id", "ingestion_date") == [(1, run.date())]
-    for schema in [r for r in databases if r != "default"]:
-        spark.sql(f"DROP DATABASE {schema} CASCADE")
+    drop_layers(spark)
 
 
 def test_the_log_tells_success_and_failure(spark, folder):

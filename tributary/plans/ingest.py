@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tributary import names
 from tributary.functions.stamps import stamp_instant
 from tributary.sinks.audit import logged
-from tributary.sinks.layers import replace_snapshot
+from tributary.sinks.layers import publish, replace_snapshot
 from tributary.sources.jdbc import JdbcSource, read_table
 
 
@@ -83,7 +83,9 @@ def ingest_tables(
         def snapshot(started: datetime) -> int:
             rows = spec.read(spark)
             stamped = stamp_instant(rows, started) if stamp is None else stamp(rows)
-            return replace_snapshot(stamped, spec.path(root), started, keep_history)
+            inserted = replace_snapshot(stamped, spec.path(root), started, keep_history)
+            publish(spark, spec.dataset, spec.table, spec.path(root))
+            return inserted
 
         return logged(spark, root, spec.source, spec.dataset, spec.table, service, snapshot)
 

@@ -233,6 +233,13 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "cdc_apply": _CHANGED_CUSTOMERS,
     "cdc_apply_stream": _CHANGED_CUSTOMERS,
+    "cdc_replica_clean": _newest(
+        "SELECT * FROM orders", "o_custkey", "o_orderdate", ("o_orderkey",),
+        "o_custkey AS transaction_id, o_custkey AS customer_id, "
+        "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DECIMAL(38,9)) AS amount, upper(o_orderpriority) AS currency, "
+        "o_orderdate AS transaction_date, upper(o_orderstatus) AS status, o_orderkey AS payment_method_id",
+        "o_orderstatus <> 'F'",
+    ),
     "stream_ingest_latest": _LATEST_EVENTS,
     "csv_scan": "SELECT doc_id, text, lang, source, n_chars FROM documents",
     "file_arrivals": f"""

@@ -27,10 +27,10 @@ from tributary.plans.refresh import read_curated, read_transformed, refresh
 from tributary.sinks.audit import read_log
 from tributary.sinks.layers import append_load, replace_snapshot
 from tributary.sources.delimited import read_delimited
-from tributary.sources.tables import read_appended, read_snapshot
+from tributary.sources.tables import read_appended, read_raw, read_snapshot
 from tributary.storage import Folder, work_folder
 from tributary.streaming.arrivals import ingest_arrivals
-from tributary.streaming.current import CurrentTable, keep_current
+from tributary.streaming.current import CurrentTable, keep_current, replica
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -241,6 +241,20 @@ def change_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read(spark)
 
 
+def replicated_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as the change log of the customers' last transaction, replicated to raw and cleaned from there."""
+    root = work_folder(spark, "replica")
+    schema = driver_table(spark, sf_dir, "orders").schema
+    log = spark.readStream.schema(schema).parquet(f"{sf_dir}/orders.parquet*").selectExpr(
+        "o_custkey AS transaction_id", "o_custkey AS customer_id", f"CAST(o_totalprice AS {_MONEY}) AS amount",
+        "lower(o_orderpriority) AS currency", "o_orderdate AS transaction_date", "lower(o_orderstatus) AS status",
+        "o_orderkey AS payment_method_id", "CASE WHEN o_orderstatus = 'F' THEN 'D' ELSE 'U' END AS change_op",
+    )
+    table = replica(root, "transactions", ("transaction_date",), ("payment_method_id",), buckets=16)
+    keep_current(log, table, f"{root}/checkpoint").awaitTermination()
+    return clean(read_raw(spark, table.path), SPECS["transactions"]).drop("ingestion_time")
+
+
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = work_folder(spark, "latest")
     table = CurrentTable(f"{work}/current", ("user_id",), ("ts",), ("event_id",), buckets=16)
@@ -394,6 +408,7 @@ QUERIES: dict[str, Query] = {
     "campaign_summary_by_conversion": campaign_summary_by_conversion,
     "cdc_apply": change_log,
     "cdc_apply_stream": change_log_stream,
+    "cdc_replica_clean": replicated_transactions,
     "stream_ingest_latest": stream_latest,
     "csv_scan": delimited_scan,
     "file_arrivals": file_arrivals,

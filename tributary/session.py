@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -28,3 +30,23 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
     return spark
+
+
+_TASK_BYTES = 256 * 1024 * 1024
+# Beyond this many, the blocks between map and reduce tasks cost more than the
+# larger partitions do, which sort and aggregate with spilling.
+_MOST_PARTITIONS = 50_000
+
+
+def sized_for(shuffled_bytes: int, cores: int) -> dict[str, str]:
+    """Settings for a job whose largest shuffle moves about ``shuffled_bytes`` on ``cores`` cores.
+
+    The number of partitions is an upper bound: adaptive execution merges small
+    ones up to the advisory size, but never makes more of them.
+    """
+    partitions = min(max(ceil(shuffled_bytes / _TASK_BYTES), 2 * cores), max(_MOST_PARTITIONS, 2 * cores))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(_TASK_BYTES),
+        "spark.sql.files.maxPartitionBytes": str(_TASK_BYTES),
+    }

@@ -51,20 +51,20 @@ class LoadRecord:
         )
 
 
-def write_log(spark: SparkSession, root: str, records: list[LoadRecord]) -> None:
-    """Append the entries.  There is one per load, so they are few whatever the loads' size.
+def write_log(spark: SparkSession, root: str, record: LoadRecord) -> None:
+    """Append one entry.
 
-    Each entry is a partition of its own: jobs that log at the same time do not
-    meet in one output folder, and logging a run id again replaces its entry.
+    It is a partition of its own: jobs that log at the same time do not meet in
+    one output folder, and logging a run id again replaces its entry.
     """
-    if not records:
-        return
     logged_at = now()
-    rows = spark.createDataFrame([r.values(logged_at) for r in records], schemas.struct(schemas.AUDIT))
+    cells = zip(schemas.struct(schemas.AUDIT), record.values(logged_at), strict=True)
+    entry = spark.range(1, numPartitions=1).select(
+        *[F.lit(value).cast(column.dataType).alias(column.name) for column, value in cells],
+        F.lit(logged_at.date()).alias(LOG_DATE),
+    )
     (
-        rows.coalesce(1)
-        .withColumn(LOG_DATE, F.lit(logged_at.date()))
-        .write.partitionBy(LOG_DATE, "RUN_ID")
+        entry.write.partitionBy(LOG_DATE, "RUN_ID")
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .parquet(names.audit_path(root))
@@ -91,7 +91,7 @@ def logged(
         raise
     finally:
         record = LoadRecord(source, dataset, table, started, now(), service, inserted=inserted, error=error)
-        write_log(spark, root, [record if run_id is None else replace(record, run_id=run_id)])
+        write_log(spark, root, record if run_id is None else replace(record, run_id=run_id))
 
 
 def read_log(spark: SparkSession, root: str) -> DataFrame:

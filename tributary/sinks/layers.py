@@ -11,6 +11,8 @@ from tributary import names, schemas
 from tributary.sources.tables import INGESTION_DATE, LOAD_ID
 from tributary.storage import Folder, count_rows
 
+_RAW_SCHEMAS = {names.raw_schema(domain) for domain in names.DOMAINS}
+
 
 def _replace_partition(df: DataFrame, path: str, column: str, value: object, file_format: str) -> int:
     """Make ``df`` the content of one partition, unless it is empty; return how many rows were written.
@@ -91,8 +93,20 @@ def set_up_layers(spark: SparkSession, root: str) -> None:
     _create_database(spark, root, names.AUDIT)
 
 
-def refresh_catalog(spark: SparkSession, schema: str, table: str) -> None:
-    """Let the catalog's table see the partitions that are there now, if it has that table."""
-    name = f"{schema}.{table}"
-    if spark.catalog.tableExists(name):
-        spark.sql(f"MSCK REPAIR TABLE {name} SYNC PARTITIONS")
+def publish(spark: SparkSession, schema: str, table: str, path: str) -> None:
+    """Let the catalog's table see what is at ``path`` now.
+
+    Without the layers' databases there is no table to keep.  A raw table is
+    made by its first load, and made again when a load brings other columns;
+    tables that the set-up made have fixed columns.
+    """
+    if not spark.catalog.databaseExists(schema):
+        return
+    name = f"{schema}.`{table}`"
+    if not spark.catalog.tableExists(name):
+        spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{path}'")
+    elif schema in _RAW_SCHEMAS and spark.table(name).columns != spark.read.parquet(path).columns:
+        # The table is external: dropping it leaves its files.
+        spark.sql(f"DROP TABLE {name}")
+        spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{path}'")
+    spark.sql(f"MSCK REPAIR TABLE {name} SYNC PARTITIONS")

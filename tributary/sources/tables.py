@@ -30,19 +30,23 @@ def read_snapshot(spark: SparkSession, path: str, ddl: str | None = None, date:
     return reader.parquet(f"{path}/{INGESTION_DATE}={date}")
 
 
-def read_appended(spark: SparkSession, path: str) -> DataFrame:
-    """All rows ever appended to the table, without the column that tells the loads apart."""
-    return spark.read.option("mergeSchema", True).parquet(path).drop(LOAD_ID)
+def read_appended(spark: SparkSession, path: str, merge_schema: bool = True) -> DataFrame:
+    """All rows ever appended to the table, without the column that tells the loads apart.
+
+    Merging schemas finds columns that only some loads have, and opens every file
+    to do so.  For a table whose loads all have the same columns, one will do.
+    """
+    return spark.read.option("mergeSchema", merge_schema).parquet(path).drop(LOAD_ID)
 
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
+def read_raw(spark: SparkSession, path: str, merge_schema: bool = False) -> DataFrame:
     """A raw table, be it a replaced snapshot, a replica kept by its change log, or an append table."""
     folder = Folder(spark, path)
     if folder.partition_values(INGESTION_DATE):
         return read_snapshot(spark, path)
     if folder.partition_values(KEY_BUCKET):
         return read_current(spark, path)
-    return read_appended(spark, path)
+    return read_appended(spark, path, merge_schema)
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame:

@@ -23,11 +23,12 @@ from tributary.functions.scalars import table_of_file
 from tributary.functions.stamps import rename_present, stamp_instant
 from tributary.plans.ingest import LoadError, run_all
 from tributary.sinks.audit import logged
-from tributary.sinks.layers import append_load
+from tributary.sinks.layers import append_load, publish
 from tributary.sources.delimited import lines_are_records, read_delimited
 
 SOURCE_NAME = "FILE_DROP"
 SERVICE = "SPARK_STREAMING"
+RAW_SCHEMA = names.raw_schema("marketing")
 
 # Files longer than this are checked for being splittable.
 SPLIT_ABOVE = 256 * 1024 * 1024
@@ -86,7 +87,10 @@ def load_files(
     """Read one table's files, stamp and rename, and append them; return the row count."""
     schema = schemas.struct(schemas.SOURCE[table]) if table in names.FEEDS else None
     rows = read_files(spark, files, schema, split_above)
-    return append_load(rename_present(stamp_instant(rows, run_start)), names.raw_path(root, table), load_id)
+    path = names.raw_path(root, table)
+    inserted = append_load(rename_present(stamp_instant(rows, run_start)), path, load_id)
+    publish(spark, RAW_SCHEMA, table, path)
+    return inserted
 
 
 def _escaped(path: str) -> str:
@@ -119,7 +123,7 @@ def batch_loader(
                 spark,
                 root,
                 SOURCE_NAME,
-                names.raw_schema("marketing"),
+                RAW_SCHEMA,
                 table,
                 SERVICE,
                 lambda started: load_files(spark, root, table, found, load_id, started, split_above),
