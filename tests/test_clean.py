@@ -4,7 +4,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows_of
+from conftest import plan_of, rows_of
 from raw_samples import D, ROWS, T
 from tributary import names, schemas
 from tributary.operators.clean import SPECS, clean, conform
@@ -81,6 +81,20 @@ def test_the_newest_version_wins(spark, entity):
     assert rows_of(clean(both, spec).drop("ingestion_time")) == EXPECTED[entity]
 
 
+@pytest.mark.parametrize("entity", EXPECTED)
+def test_a_cleaner_shuffles_once_and_cuts_hot_keys_before(spark, entity):
+    plan = plan_of(clean(raw(spark, entity), SPECS[entity]))
+    assert plan.count("Exchange") == 1
+    assert plan.index("1, Final") < plan.index("Exchange") < plan.index("1, Partial")
+
+
+@pytest.mark.parametrize("entity", EXPECTED)
+def test_cleaning_a_keyed_table_shuffles_nothing(spark, entity):
+    cleaned = clean(raw(spark, entity), SPECS[entity], keyed=True)
+    assert "Exchange" not in plan_of(cleaned) and "Window" not in plan_of(cleaned)
+    assert rows_of(cleaned.drop("ingestion_time")) == EXPECTED[entity]
+
+
 def test_a_failing_newest_version_removes_the_key(spark):
     rows = [
         (9, 1, Decimal("10.00"), "INR", T, "success", 1),

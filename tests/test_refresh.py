@@ -13,6 +13,7 @@ from tributary.plans.refresh import arrived, read_curated, read_transformed, ref
 from tributary.sinks.audit import read_log
 from tributary.sinks.layers import append_load, set_up_layers
 from tributary.sources.tables import read_raw
+from tributary.streaming.current import replica
 
 
 def sample(entity):
@@ -88,6 +89,21 @@ def test_exact_marts(spark, folder):
     assert revenue == [(1, Decimal("1200.5")), (2, Decimal("2200")), (3, Decimal("800.75"))]
 
 
+def test_replicas_are_refreshed_like_other_raw_tables(spark, folder):
+    others = ("customers", "user_sessions", "campaigns")
+    ingest_tables(spark, folder, [load_of(e) for e in others])
+    table = replica(folder, "transactions", ("seq",), buckets=4)
+    changes = sample("transactions")(spark).withColumns({"seq": F.lit(1), "change_op": F.lit("I")})
+    table.merge(changes)
+    table.merge(changes.filter("transaction_id = 3").withColumns({"seq": F.lit(2), "change_op": F.lit("D")}))
+    table.merge(changes.filter("transaction_id = 1").withColumns({"seq": F.lit(2), "amount": F.lit(Decimal("7.00"))}))
+    refresh(spark, folder)
+    summary = read_curated(spark, folder, "customer_summary")
+    assert rows_of(summary, "customer_id", "total_transactions", "total_spent") == [
+        (1, 1, Decimal("7")), (2, 1, Decimal("1200")), (3, 0, None),
+    ]
+
+
 def broken(spark):
     raise ConnectionError("host is down")
 

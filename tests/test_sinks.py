@@ -77,6 +77,12 @@ def test_appends_keep_all_versions_and_a_repeated_load_adds_nothing(spark, folde
     assert read_raw(spark, path).columns == ["id", "v"]
 
 
+@pytest.mark.parametrize("name", ["load_id", "LOAD_ID"])
+def test_data_columns_do_not_vanish_under_the_partition_column(spark, folder, name):
+    with pytest.raises(ValueError, match="partition column"):
+        append_load(spark.range(3).withColumnRenamed("id", name), f"{folder}/t", "s-0")
+
+
 def test_a_table_that_has_nothing_yet(spark, folder):
     assert read_snapshot(spark, f"{folder}/none", "a INT, b STRING").count() == 0
     with pytest.raises(FileNotFoundError):

@@ -108,15 +108,21 @@ def conform(df: DataFrame, ddl: str) -> DataFrame:
 
 
 def clean(
-    raw: DataFrame, spec: CleanSpec, tie_break: Sequence[str] = (), run_time: datetime | None = None
+    raw: DataFrame,
+    spec: CleanSpec,
+    tie_break: Sequence[str] = (),
+    run_time: datetime | None = None,
+    keyed: bool = False,
 ) -> DataFrame:
     """Clean one entity.
 
     The quality filter looks at the newest version only: when that one fails,
     the key is gone, and an older version does not step in.  Normalising comes
     last, for the rows that remain.
+
+    ``keyed`` says that ``raw`` has one row per key already; then nothing is shuffled.
     """
-    newest = latest_by_key(raw, [spec.key], [spec.newest], tie_break)
+    newest = raw if keyed else latest_by_key(raw, [spec.key], [spec.newest], tie_break)
     if spec.keep is not None:
         newest = newest.filter(spec.keep())
     target = schemas.TRANSFORMED[spec.table]

@@ -13,7 +13,7 @@ from tributary.operators.clean import SPECS, clean
 from tributary.plans.ingest import run_all
 from tributary.sinks.audit import logged, now
 from tributary.sinks.layers import publish, replace_snapshot
-from tributary.sources.tables import read_raw, read_snapshot
+from tributary.sources.tables import is_current, read_raw, read_snapshot
 from tributary.storage import Folder
 
 
@@ -64,11 +64,15 @@ def refresh(
         return logged(spark, root, source, schema, table, SERVICE, snapshot)
 
     def clean_table(table: str) -> int:
-        domain = names.DOMAIN_OF[table]
+        domain, spec, path = names.DOMAIN_OF[table], SPECS[table], names.raw_path(root, table)
+
+        def cleaned() -> DataFrame:
+            # A replica has one row per key of its source.
+            keyed = is_current(spark, path) and names.SOURCE_KEYS[table] == spec.key
+            return clean(read_raw(spark, path), spec, tie_breaks.get(table, ()), run_time, keyed)
+
         return replace(
-            lambda: clean(
-                read_raw(spark, names.raw_path(root, table)), SPECS[table], tie_breaks.get(table, ()), run_time
-            ),
+            cleaned,
             names.raw_schema(domain),
             names.transformed_schema(domain),
             table,

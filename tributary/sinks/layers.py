@@ -22,6 +22,8 @@ def _replace_partition(df: DataFrame, path: str, column: str, value: object, fil
     partition column comes after the count: there the optimizer sees that it is
     one constant, and does not sort the rows by it.
     """
+    if column.lower() in (name.lower() for name in df.columns):
+        raise ValueError(f"{column} is the name of the partition column; rename the data's own first")
     written = Observation()
     (
         count_rows(df, written)

@@ -41,14 +41,18 @@ def read_appended(spark: SparkSession, path: str, merge_schema: bool = True) ->
 
 def read_raw(spark: SparkSession, path: str, merge_schema: bool = False) -> DataFrame:
     """A raw table, be it a replaced snapshot, a replica kept by its change log, or an append table."""
-    folder = Folder(spark, path)
-    if folder.partition_values(INGESTION_DATE):
+    if Folder(spark, path).partition_values(INGESTION_DATE):
         return read_snapshot(spark, path)
-    if folder.partition_values(KEY_BUCKET):
+    if is_current(spark, path):
         return read_current(spark, path)
     return read_appended(spark, path, merge_schema)
 
 
+def is_current(spark: SparkSession, path: str) -> bool:
+    """Whether the table holds each key's latest row only."""
+    return bool(Folder(spark, path).partition_values(KEY_BUCKET))
+
+
 def read_current(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a current-state table; of a replica, those that were not deleted last."""
     rows = spark.read.parquet(path).drop(KEY_BUCKET)
