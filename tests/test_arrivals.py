@@ -144,3 +144,33 @@ def test_large_files_give_the_same_rows(drop, split_above):
     drop.run(split_above=split_above)
     headlines = dict(rows_of(drop.raw("ads"), "ad_id", "headline"))
     assert headlines == {i: f'no "{i}", or' for i in range(300)} | {300: "two\nlines"}
+
+
+def test_columns_are_matched_by_name(drop):
+    drop.put("clicks.1.csv", "click_id,ad_id,customer_id,click_time,device_type\n1,2,3,2026-01-01 00:00:00,web\n")
+    drop.put("clicks.2.csv", "device_type,customer_id,click_id\nios,30,10\n")
+    drop.run()
+    assert rows_of(drop.raw("clicks"), "click_id", "ad_id", "customer_id", "device_type") == [
+        (1, 2, 3, "web"), (10, None, 30, "ios"),
+    ]
+    assert drop.raw("clicks").columns == [*schemas.columns(schemas.SOURCE["clicks"]), "created_at", "modified_at"]
+
+
+def test_a_declared_feed_takes_no_other_columns(drop):
+    drop.put("clicks.csv", "click_id,colour\n1,red\n")
+    drop.run(on_failure="log")
+    assert drop.log() == [("clicks", None, "failed")]
+
+
+def test_an_empty_file_is_passed_over(drop):
+    drop.put("clicks.csv", "")
+    drop.put("ads.csv", ADS + "101,1,Banner,x,2026-09-25 10:00:00\n")
+    drop.run()
+    assert drop.log() == [("ads", 1, "succeeded")]
+
+
+def test_undeclared_files_may_differ_in_their_columns(drop):
+    drop.put("proposals.1.csv", "id,amount\n1,5\n")
+    drop.put("proposals.2.csv", "id,note\n2,late\n")
+    drop.run()
+    assert rows_of(drop.raw("proposals"), "id", "amount", "note") == [("1", "5", None), ("2", None, "late")]

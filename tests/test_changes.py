@@ -105,3 +105,10 @@ def test_stream_into_a_replica_that_the_refresh_reads(spark, folder):
     assert run() == [(1, 1), (2, 2)]
     spark.createDataFrame([(2, 3, None, "D"), (3, 4, None, "I")], ddl).write.mode("append").parquet(source)
     assert run() == [(1, 1), (3, 4)]
+
+
+def test_keys_of_another_type_meet_their_rows(spark, folder):
+    table = CurrentTable(f"{folder}/t", ("k",), ("t",), buckets=8)
+    table.merge(spark.createDataFrame([(k, 0, "old") for k in range(10)], "k BIGINT, t INT, v STRING"))
+    table.merge(spark.createDataFrame([(k, 1, "new") for k in range(10)], BASE))
+    assert rows_of(table.read(spark), "v") == [("new",)] * 10

@@ -195,3 +195,10 @@ def test_only_a_local_session_gets_a_folder_of_its_own():
 
 def test_the_clock_knows_its_zone():
     assert now().utcoffset() == timedelta(0)
+
+
+def test_the_file_format_is_a_parameter(spark, folder):
+    replace_snapshot(numbers(spark, 5), f"{folder}/s", DAY, file_format="orc")
+    append_load(numbers(spark, 5), f"{folder}/a", "s-0", file_format="orc")
+    assert read_snapshot(spark, f"{folder}/s", file_format="orc").count() == 5
+    assert read_appended(spark, f"{folder}/a", file_format="orc").count() == 5

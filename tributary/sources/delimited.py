@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from tributary.storage import first_line
+
 ENCODING = "ISO-8859-1"
 
 # Cells that stand for a missing value.
@@ -23,11 +27,31 @@ _CELL = r'(?:[^",\r]*+|"(?:[^"\r]++|"")*+")'
 _WHOLE_RECORD = rf"^{_CELL}(?:,{_CELL})*+\r?$"
 
 
+_AS_IS, _BEYOND = "__record", "__beyond"
+
+
 def _present(name: str) -> Column:
     cell = F.col(f"`{name}`")
     return F.when(~cell.isin(*MISSING), cell)
 
 
+def _strings(columns: Sequence[str]) -> StructType:
+    return StructType([StructField(name, StringType()) for name in columns])
+
+
+def _not_too_long(columns: Sequence[str]) -> Column:
+    """True, or an error for a record with more cells than there are columns.
+
+    The reader hands over as they are the records whose number of cells is not
+    that of the columns; only those are looked at again.
+    """
+    record = F.col(_AS_IS)
+    wider = ", ".join(f"c{i} STRING" for i in range(len(columns))) + f", {_BEYOND} STRING"
+    beyond = F.from_csv(record, F.lit(wider), {"escape": '"'})[_BEYOND]
+    problem = F.concat(F.lit(f"more than {len(columns)} cells: "), record)
+    return F.when(record.isNotNull() & beyond.isNotNull(), F.raise_error(problem).cast("boolean")).otherwise(True)
+
+
 def read_delimited(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -40,32 +64,46 @@ def read_delimited(
     Cells that mean "missing" become null, then each column is cast to its type
     in ``schema``; a cell that does not fit is an error, never a silent null.
     The header must carry the schema's columns in its order, or reading fails.
-    Without a schema the header names the columns and all are strings.
+    Without a schema the header names the columns and all are strings.  A record
+    with too few cells is filled up with nulls; one with too many is an error.
 
     Quoted cells may hold line ends, so a file is read by one task.  A file that
     has none there, see :func:`lines_are_records`, can be split among many with
     ``multi_line=False``.
     """
+    chosen = paths if isinstance(paths, str) else list(paths)
     reader = (
         spark.read.option("header", True)
         .option("encoding", encoding)
         .option("multiLine", multi_line)
         .option("escape", '"')
-        .option("mode", "FAILFAST")
         .option("enforceSchema", False)
         # Empty cells are told from missing ones by the list above, not by the parser.
         .option("nullValue", "")
         .option("emptyValue", "")
+        .option("columnNameOfCorruptRecord", _AS_IS)
     )
-    if schema is not None:
-        reader = reader.schema(StructType([StructField(name, StringType()) for name in schema.names]))
-    text = reader.csv(paths if isinstance(paths, str) else list(paths))
-    present = text.select(*[_present(name).alias(name) for name in text.columns])
+    columns = reader.csv(chosen).columns if schema is None else schema.names
+    records = reader.schema(_strings([*columns, _AS_IS])).csv(chosen).filter(_not_too_long(columns))
+    present = records.select(*[_present(name).alias(name) for name in columns])
     if schema is None:
         return present
     return present.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
 
 
+def file_headers(spark: SparkSession, paths: Sequence[str], encoding: str = ENCODING) -> list[tuple[str, ...]]:
+    """The column names in each file's first line; nothing else of the files is read."""
+
+    def header(path: str) -> tuple[str, ...]:
+        line = first_line(spark, path, encoding)
+        if not line:
+            raise ValueError(f"{path} has no header")
+        return tuple(next(csv.reader([line])))
+
+    with ThreadPoolExecutor(max_workers=16) as pool:
+        return list(pool.map(header, paths))
+
+
 def lines_are_records(spark: SparkSession, path: str) -> bool:
     """Whether every line of the file is a whole record.
 

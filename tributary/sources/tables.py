@@ -13,7 +13,13 @@ LOAD_ID = "load_id"
 KEY_BUCKET = "key_bucket"
 
 
-def read_snapshot(spark: SparkSession, path: str, ddl: str | None = None, date: str | None = None) -> DataFrame:
+def read_snapshot(
+    spark: SparkSession,
+    path: str,
+    ddl: str | None = None,
+    date: str | None = None,
+    file_format: str = "parquet",
+) -> DataFrame:
     """The table's latest snapshot, or that of ``date``, without the partition column.
 
     The latest date is read from folder names, so only its files are listed and
@@ -27,16 +33,18 @@ def read_snapshot(spark: SparkSession, path: str, ddl: str | None = None, date:
             raise FileNotFoundError(f"no snapshot in {path}")
         return spark.createDataFrame([], schemas.struct(ddl))
     reader = spark.read if ddl is None else spark.read.schema(ddl)
-    return reader.parquet(f"{path}/{INGESTION_DATE}={date}")
+    return reader.format(file_format).load(f"{path}/{INGESTION_DATE}={date}")
 
 
-def read_appended(spark: SparkSession, path: str, merge_schema: bool = True) -> DataFrame:
+def read_appended(
+    spark: SparkSession, path: str, merge_schema: bool = True, file_format: str = "parquet"
+) -> DataFrame:
     """All rows ever appended to the table, without the column that tells the loads apart.
 
     Merging schemas finds columns that only some loads have, and opens every file
     to do so.  For a table whose loads all have the same columns, one will do.
     """
-    return spark.read.option("mergeSchema", merge_schema).parquet(path).drop(LOAD_ID)
+    return spark.read.option("mergeSchema", merge_schema).format(file_format).load(path).drop(LOAD_ID)
 
 
 def read_raw(spark: SparkSession, path: str, merge_schema: bool = False) -> DataFrame:

@@ -65,6 +65,17 @@ class Folder:
         return [name[len(prefix):] for name in self.names() if name.startswith(prefix)]
 
 
+def first_line(spark: SparkSession, path: str, encoding: str) -> str | None:
+    """The first line of a text file; None if it is empty."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = file.getFileSystem(spark._jsc.hadoopConfiguration()).open(file)
+    try:
+        java_io = spark._jvm.java.io
+        return java_io.BufferedReader(java_io.InputStreamReader(stream, encoding)).readLine()
+    finally:
+        stream.close()
+
+
 def count_rows(df: DataFrame, observation) -> DataFrame:
     """Count rows while they are written; ``observation.get['rows']`` after the action.
 

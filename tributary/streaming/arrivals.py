@@ -24,7 +24,7 @@ from tributary.functions.stamps import rename_present, stamp_instant
 from tributary.plans.ingest import LoadError, run_all
 from tributary.sinks.audit import logged
 from tributary.sinks.layers import append_load, publish
-from tributary.sources.delimited import lines_are_records, read_delimited
+from tributary.sources.delimited import file_headers, lines_are_records, read_delimited
 
 SOURCE_NAME = "FILE_DROP"
 SERVICE = "SPARK_STREAMING"
@@ -59,20 +59,40 @@ def files_by_table(files: DataFrame) -> dict[str, list[tuple[str, int]]]:
     return {row["table"]: [(file["path"], file["length"]) for file in row["files"]] for row in groups.collect()}
 
 
-def read_files(
-    spark: SparkSession, files: list[tuple[str, int]], schema: StructType | None, split_above: int
-) -> DataFrame:
-    """Read files of one table, large ones by many tasks wherever their lines allow it."""
-    whole, split = [], []
-    for path, length in files:
+def _in_file_order(table: str, header: tuple[str, ...]) -> StructType | None:
+    """The types of a file's columns; None for a table that is not declared."""
+    if table not in names.FEEDS:
+        return None
+    declared = schemas.struct(schemas.SOURCE[table])
+    unknown = [name for name in header if name not in declared.names]
+    if unknown:
+        raise ValueError(f"{table} has no columns {unknown}")
+    return StructType([declared[name] for name in header])
+
+
+def read_files(spark: SparkSession, table: str, files: list[tuple[str, int]], split_above: int) -> DataFrame:
+    """Read files of one table, whatever the order of their columns.
+
+    Files with the same header are read together, large ones by many tasks
+    wherever their lines allow it.  Columns are matched by name; those that a
+    file lacks are null.
+    """
+    headers = file_headers(spark, [path for path, _ in files])
+    groups: dict[tuple[tuple[str, ...], bool], list[str]] = {}
+    for (path, length), header in zip(files, headers, strict=True):
         literal = _escaped(path)
-        (split if length > split_above and lines_are_records(spark, literal) else whole).append(literal)
+        splittable = length > split_above and lines_are_records(spark, literal)
+        groups.setdefault((header, splittable), []).append(literal)
     parts = [
-        read_delimited(spark, paths, schema, multi_line=multi_line)
-        for paths, multi_line in ((whole, True), (split, False))
-        if paths
+        read_delimited(spark, paths, _in_file_order(table, header), multi_line=not splittable)
+        for (header, splittable), paths in groups.items()
     ]
-    return reduce(DataFrame.unionByName, parts)
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if table not in names.FEEDS:
+        return rows
+    declared = schemas.struct(schemas.SOURCE[table])
+    missing = {field.name: F.lit(None).cast(field.dataType) for field in declared if field.name not in rows.columns}
+    return rows.withColumns(missing).select(*declared.names)
 
 
 def load_files(
@@ -85,8 +105,7 @@ def load_files(
     split_above: int = SPLIT_ABOVE,
 ) -> int:
     """Read one table's files, stamp and rename, and append them; return the row count."""
-    schema = schemas.struct(schemas.SOURCE[table]) if table in names.FEEDS else None
-    rows = read_files(spark, files, schema, split_above)
+    rows = read_files(spark, table, files, split_above)
     path = names.raw_path(root, table)
     inserted = append_load(rename_present(stamp_instant(rows, run_start)), path, load_id)
     publish(spark, RAW_SCHEMA, table, path)

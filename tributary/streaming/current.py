@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tributary import names
 from tributary.operators.latest import latest_by_key
-from tributary.sources.tables import KEY_BUCKET, read_current
+from tributary.sources.tables import KEY_BUCKET, is_current, read_current
 from tributary.storage import Folder
 
 
@@ -48,14 +48,17 @@ class CurrentTable:
     def _merged(self, batch: DataFrame) -> DataFrame:
         """The new content of the buckets that ``batch`` touches."""
         spark = batch.sparkSession
+        stored = spark.read.parquet(self.path) if is_current(spark, self.path) else None
+        if stored is not None:
+            # Equal keys of different types would fall into different buckets.
+            batch = batch.withColumns({key: F.col(key).cast(stored.schema[key].dataType) for key in self.keys})
         # One row per key before anything else: a hot key in the batch ends here.
         rows = self._with_bucket(latest_by_key(batch, self.keys, self.order_by, self.tie_break))
-        if Folder(spark, self.path).partition_values(KEY_BUCKET):
+        if stored is not None:
             touched = self._with_bucket(batch.select(*self.keys)).select(KEY_BUCKET).distinct()
             # At most ``buckets`` small numbers; as literals they prune the scan.
             numbers = [row[KEY_BUCKET] for row in touched.collect()]
-            stored = spark.read.parquet(self.path).filter(F.col(KEY_BUCKET).isin(numbers))
-            rows = stored.unionByName(rows)
+            rows = stored.filter(F.col(KEY_BUCKET).isin(numbers)).unionByName(rows)
         # One shuffle serves both the choice of the newest of a key's two rows and
         # the write: a bucket is one task and one file.
         return latest_by_key(
