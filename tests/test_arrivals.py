@@ -174,3 +174,16 @@ def test_undeclared_files_may_differ_in_their_columns(drop):
     drop.put("proposals.2.csv", "id,note\n2,late\n")
     drop.run()
     assert rows_of(drop.raw("proposals"), "id", "amount", "note") == [("1", "5", None), ("2", None, "late")]
+
+
+def test_a_stream_can_keep_going(drop, spark):
+    query = ingest_arrivals(
+        spark, drop.inbox, drop.root, f"{drop.folder}/checkpoint", every="100 milliseconds"
+    )
+    try:
+        for i in range(2):
+            drop.put(f"ads.{i}.csv", ADS + f"{i},1,Banner,x,2026-09-25 10:00:00\n")
+            query.processAllAvailable()
+            assert drop.raw("ads").count() == i + 1
+    finally:
+        query.stop()

@@ -46,9 +46,9 @@ def test_any_order_of_batches_gives_the_batch_result(spark, folder):
 def test_a_batch_rewrites_only_its_buckets(spark, folder):
     table = CurrentTable(f"{folder}/t", ("k",), ("t",), buckets=8)
     table.merge(spark.createDataFrame([(k, 0, "old") for k in range(50)], BASE))
-    before = {b: Folder(spark, f"{folder}/t/{KEY_BUCKET}={b}").names() for b in range(8)}
+    before = {b: Folder(spark, f"{table._content}/{KEY_BUCKET}={b}").names() for b in range(8)}
     table.merge(spark.createDataFrame([(7, 1, "new")], BASE))
-    after = {b: Folder(spark, f"{folder}/t/{KEY_BUCKET}={b}").names() for b in range(8)}
+    after = {b: Folder(spark, f"{table._content}/{KEY_BUCKET}={b}").names() for b in range(8)}
     assert sum(before[b] != after[b] for b in range(8)) == 1
     assert table.read(spark).filter("v = 'new'").count() == 1 and table.read(spark).count() == 50
 
@@ -72,8 +72,8 @@ def test_a_replacement_cut_short_is_finished_by_the_next_run(spark, folder, monk
         calls.append(1)
         if len(calls) == 2:
             # Some buckets are gone, as when the driver dies while moving files.
-            for name in Folder(session, self.path).names()[:2]:
-                Folder(session, f"{self.path}/{name}").remove()
+            for name in Folder(session, self._content).names()[:2]:
+                Folder(session, f"{self._content}/{name}").remove()
             raise RuntimeError("driver lost")
         put_in_place(self, session)
 
@@ -107,6 +107,13 @@ def test_stream_into_a_replica_that_the_refresh_reads(spark, folder):
     assert run() == [(1, 1), (3, 4)]
 
 
+def test_another_number_of_buckets_is_an_error(spark, folder):
+    batch = spark.createDataFrame([(1, 1, "a")], BASE)
+    CurrentTable(f"{folder}/t", ("k",), ("t",), buckets=8).merge(batch)
+    with pytest.raises(ValueError, match="has 8 buckets, not 16"):
+        CurrentTable(f"{folder}/t", ("k",), ("t",), buckets=16).merge(batch)
+
+
 def test_keys_of_another_type_meet_their_rows(spark, folder):
     table = CurrentTable(f"{folder}/t", ("k",), ("t",), buckets=8)
     table.merge(spark.createDataFrame([(k, 0, "old") for k in range(10)], "k BIGINT, t INT, v STRING"))

@@ -94,7 +94,7 @@ def customer_summary(
     and unaffected; spending is null without transactions.
 
     ``keyed`` says that customer, transaction and session ids are keys of their
-    tables, as after cleaning.  The result is the same with three shuffles less.
+    tables, as after cleaning.  The result is the same with four shuffles less.
     """
     people = _customers_with_activity(customers, transactions, sessions, keyed)
     pairs = F.greatest(F.coalesce("session_rows", F.lit(0)), F.lit(1)) * F.col("copies")

@@ -10,6 +10,8 @@ from tributary.storage import Folder
 
 INGESTION_DATE = "ingestion_date"
 LOAD_ID = "load_id"
+# Folders of a current-state table: how many buckets it has, and which one this is.
+KEY_BUCKETS = "key_buckets"
 KEY_BUCKET = "key_bucket"
 
 
@@ -58,10 +60,10 @@ def read_raw(spark: SparkSession, path: str, merge_schema: bool = False) -> Data
 
 def is_current(spark: SparkSession, path: str) -> bool:
     """Whether the table holds each key's latest row only."""
-    return bool(Folder(spark, path).partition_values(KEY_BUCKET))
+    return bool(Folder(spark, path).partition_values(KEY_BUCKETS))
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a current-state table; of a replica, those that were not deleted last."""
-    rows = spark.read.parquet(path).drop(KEY_BUCKET)
+    rows = spark.read.parquet(path).drop(KEY_BUCKETS, KEY_BUCKET)
     return without_deletions(rows, CHANGE_OP, DELETE_OPS) if CHANGE_OP in rows.columns else rows

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tributary import names
 from tributary.operators.latest import latest_by_key
-from tributary.sources.tables import KEY_BUCKET, is_current, read_current
+from tributary.sources.tables import KEY_BUCKET, KEY_BUCKETS, is_current, read_current
 from tributary.storage import Folder
 
 
@@ -24,7 +24,8 @@ class CurrentTable:
     """A current-state table: where it is and which of a key's rows is newest.
 
     ``buckets`` should make one bucket of the whole table a comfortable task,
-    some hundred MB; it cannot change later.  If the rows carry a change
+    some hundred MB; it cannot change later, and merging with another number
+    is an error.  If the rows carry a change
     operation, deleted keys stay in the files, marked, and are left out when
     read, so a late, older change cannot revive them.
     """
@@ -39,6 +40,10 @@ class CurrentTable:
     def _staging(self) -> str:
         return f"{self.path}__staging"
 
+    @property
+    def _content(self) -> str:
+        return f"{self.path}/{KEY_BUCKETS}={self.buckets}"
+
     def read(self, spark: SparkSession) -> DataFrame:
         return read_current(spark, self.path)
 
@@ -48,7 +53,7 @@ class CurrentTable:
     def _merged(self, batch: DataFrame) -> DataFrame:
         """The new content of the buckets that ``batch`` touches."""
         spark = batch.sparkSession
-        stored = spark.read.parquet(self.path) if is_current(spark, self.path) else None
+        stored = spark.read.parquet(self._content) if is_current(spark, self.path) else None
         if stored is not None:
             # Equal keys of different types would fall into different buckets.
             batch = batch.withColumns({key: F.col(key).cast(stored.schema[key].dataType) for key in self.keys})
@@ -68,6 +73,9 @@ class CurrentTable:
     def merge(self, batch: DataFrame, batch_id: int | None = None) -> None:
         """Bring the rows of ``batch`` in.  The same batch again changes nothing."""
         spark = batch.sparkSession
+        there = Folder(spark, self.path).partition_values(KEY_BUCKETS)
+        if there not in ([], [str(self.buckets)]):
+            raise ValueError(f"{self.path} has {there[0]} buckets, not {self.buckets}")
         self._put_in_place(spark)
         self._merged(batch).write.partitionBy(KEY_BUCKET).mode("overwrite").parquet(self._staging)
         self._put_in_place(spark)
@@ -88,7 +96,7 @@ class CurrentTable:
                 .write.partitionBy(KEY_BUCKET)
                 .mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic")
-                .parquet(self.path)
+                .parquet(self._content)
             )
         complete.remove()
         staged.remove()
