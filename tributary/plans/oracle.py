@@ -249,6 +249,16 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "file_arrival_log": _counted({feed: raw_view_sql(feed) for feed in _FEEDS}),
     "table_loads": _counted({table: f"SELECT * FROM {table}" for table in _STAR_TABLES}),
+    "load_failures": """
+        SELECT 'customer' AS table_name, count(*) AS records_inserted, 'succeeded' AS status, NULL AS tells_why
+        FROM customer
+        UNION ALL SELECT 'part', count(*), 'succeeded', NULL FROM part
+        UNION ALL SELECT 'supplier', NULL, 'failed', true
+    """,
+    "ingestion_clock": """
+        SELECT upper(event_type) AS event_type, count(*) AS stamped, CAST(1 AS BIGINT) AS clocks
+        FROM events GROUP BY event_type
+    """,
     "snapshot_replace": """
         SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders
     """,

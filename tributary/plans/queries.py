@@ -8,6 +8,7 @@ new folder under the session's shared one.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import suppress
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ from tributary.operators.clean import SPECS, clean, conform
 from tributary.operators.latest import latest_by_key
 from tributary.operators.quality import key_violations, not_negative, present
 from tributary.plans.driver_tables import RAW_VIEWS, TIE_BREAKS, driver_table, raw_view
-from tributary.plans.ingest import TableLoad, ingest_tables
+from tributary.plans.ingest import LoadError, TableLoad, ingest_tables
 from tributary.plans.refresh import read_curated, read_transformed, refresh
 from tributary.sinks.audit import read_log
 from tributary.sinks.layers import append_load, replace_snapshot
@@ -338,6 +339,34 @@ def table_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _loads(read_log(spark, root))
 
 
+def load_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One of three tables cannot be loaded, as a row of it cannot be read."""
+    root = work_folder(spark, "failures")
+
+    def unreadable(session: SparkSession) -> DataFrame:
+        unread = F.when(F.col("s_suppkey") >= 0, F.raise_error(F.lit("broken row"))).otherwise(F.col("s_name"))
+        return driver_table(session, sf_dir, "supplier").withColumn("s_name", unread)
+
+    loads = [
+        TableLoad("customer", lambda session: driver_table(session, sf_dir, "customer"), "STAR_SCHEMA"),
+        TableLoad("supplier", unreadable, "STAR_SCHEMA"),
+        TableLoad("part", lambda session: driver_table(session, sf_dir, "part"), "STAR_SCHEMA"),
+    ]
+    with suppress(LoadError):
+        ingest_tables(spark, root, loads)
+    return read_log(spark, root).selectExpr(
+        "BQ_TABLE_NAME AS table_name", "RECORDS_INSERTED AS records_inserted", "STATUS AS status",
+        "contains(ERROR, 'broken row') AS tells_why",
+    )
+
+
+def ingestion_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = clean(raw_view(spark, sf_dir, "user_events"), SPECS["user_events"])
+    return cleaned.groupBy("event_type").agg(
+        F.count("ingestion_time").alias("stamped"), F.count_distinct(F.col("ingestion_time")).alias("clocks")
+    )
+
+
 def snapshot_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = driver_table(spark, sf_dir, "orders")
     path = work_folder(spark, "snapshot")
@@ -414,6 +443,8 @@ QUERIES: dict[str, Query] = {
     "file_arrivals": file_arrivals,
     "file_arrival_log": file_arrival_log,
     "table_loads": table_loads,
+    "load_failures": load_failures,
+    "ingestion_clock": ingestion_clock,
     "snapshot_replace": snapshot_replace,
     "append_loads": append_loads,
     "refresh_transactions": refreshed_transactions,

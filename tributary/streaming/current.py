@@ -24,10 +24,10 @@ class CurrentTable:
     """A current-state table: where it is and which of a key's rows is newest.
 
     ``buckets`` should make one bucket of the whole table a comfortable task,
-    some hundred MB; it cannot change later, and merging with another number
-    is an error.  If the rows carry a change
-    operation, deleted keys stay in the files, marked, and are left out when
-    read, so a late, older change cannot revive them.
+    some hundred MB; it cannot change later, and merging with another number is
+    an error.  If the rows carry a change operation, deleted keys stay in the
+    files, marked, and are left out when read, so a late, older change cannot
+    revive them.
     """
 
     path: str
