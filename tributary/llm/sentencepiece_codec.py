@@ -290,3 +290,14 @@ def round_trip_digests(docs: DataFrame, model: str = MODEL, id_column: str = "do
 
     columns = {"n_tokens": (pa.int64(), "bigint"), "ids_sha256": (pa.string(), "string"), "decoded_sha256": (pa.string(), "string")}
     return _over_texts(docs, id_column, text_column, columns, rows)
+
+
+def encode_with_digest(docs: DataFrame, model: str = MODEL, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The id, the number of ids, the ids (end id included), and the digest of the text that they decode to."""
+
+    def rows(texts: flat.Texts) -> list[list]:
+        found = encode_slice(texts, model, end=True)
+        return [[len(ids) for ids in found], found, [hashlib.sha256(codec(model).decode_bytes(ids)).hexdigest() for ids in found]]
+
+    columns = {"n_tokens": (pa.int64(), "bigint"), "ids": (pa.list_(pa.int32()), "array<int>"), "decoded_sha256": (pa.string(), "string")}
+    return _over_texts(docs, id_column, text_column, columns, rows)
