@@ -12,9 +12,11 @@ exceeds the number of tokens that may differ. There are more classes for
 longer documents, so the combinations of a document stay in proportion to its
 length; documents near the edge of two length ranges have signatures in both.
 
-How frequent a token is comes from a table of counters over all documents. Its
-size is fixed, tokens share counters: any counts give a right join, since all
-documents see the same; better ones only give fewer candidates.
+How frequent a token is comes from tables of counters over all documents: of
+shingles, and of words, whose frequencies tell how often a shingle of them
+comes by chance. A token is frequent if either is high. The tables' sizes are
+fixed, tokens share counters: any counts give a right join, since all documents
+see the same; better ones only give fewer candidates.
 
 Equal sets become one node first. Of the nodes under a signature, one with
 least rare tokens is compared with all others; the links so found give
@@ -22,8 +24,9 @@ components, and only nodes in different components are then compared with each
 other. Length and position bounds come before every comparison; comparisons
 are exact, on 64-bit hashes of shingles.
 
-What the driver handles is of fixed size: the counters (4 MB) and a bitmap of
-signatures that more than one document has (8 MB). Neither decides a result.
+What the driver handles is of fixed size: the counters (5 MB) and bitmaps of
+signatures that more than one document has and of nodes in pairs (8 MB each).
+None decides a result. Sets are read from the texts again, for nodes in pairs.
 
 Defined results: rows are the documents, so rows that share an id are linked
 only if their texts are. A null or wordless text has an empty set, is linked
@@ -41,24 +44,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm import flat
+from tributary.llm import bitmaps, flat
 from tributary.llm.columns import written
 from tributary.llm.components import components
 
 WIDTH = 5
 PERCENT = 80
 COUNTERS = 2**20
+WORD_COUNTERS = 2**18
+#: A shingle that chance alone makes more often than this counts as frequent.
+BY_CHANCE = 0.05
 _CHUNK = 2**10
-_LIVE_BITS = 2**26
+#: Parts of a set whose sizes bound what two sets share.
+SPREAD = 64
 _CLASS_OF = np.uint64(0x8CB92BA72F3D8DD7)
 
 
-def shingle_sets(texts: flat.Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of each document, by hash, and the bounds of each set; short texts are one shingle."""
+def _hashes(texts: flat.Texts) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, words = texts.words()
-    hashes = texts.hashes(starts, ends, fold=True)
+    return texts.hashes(starts, ends, fold=True), words
+
+
+def shingle_sets(texts: flat.Texts, width: int, logs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Distinct shingles of each document, by hash, and the bounds of each set; short texts are one shingle.
+
+    With ``logs``, of the words' shares by counter, also the sum over each shingle's words.
+    """
+    hashes, words = _hashes(texts)
     grams, bounds = flat.shingles(hashes, words, width)
     owner = flat.segment_ids(bounds)
+    chance = None
+    if logs is not None:
+        sums = np.concatenate([[0], np.cumsum(logs[_word_counter(hashes)], dtype=np.float64)])
+        begin = np.arange(len(grams)) - bounds[owner] + words[owner] if len(grams) else np.zeros(0, np.int64)
+        # Rounded, so that the order of summing does not show.
+        chance = np.round(sums[begin + width] - sums[begin], 3)
     counts = np.diff(words)
     short = np.flatnonzero((counts > 0) & (counts < width))
     if len(short):
@@ -69,12 +89,13 @@ def shingle_sets(texts: flat.Texts, width: int) -> tuple[np.ndarray, np.ndarray]
                 h = flat.mixed(h * np.uint64(3) + word)
             whole.append(h + np.uint64(counts[i]))
         grams, owner = np.concatenate([grams, *whole]), np.concatenate([owner, short])
+        chance = None if chance is None else np.concatenate([chance, np.full(len(short), -np.inf)])
     order = np.lexsort((grams, owner))
     grams, owner = grams[order], owner[order]
     new = np.ones(len(grams), bool)
     new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
     grams, owner = grams[new], owner[new]
-    return grams, np.searchsorted(owner, np.arange(len(texts) + 1))
+    return grams, np.searchsorted(owner, np.arange(len(texts) + 1)), None if chance is None else chance[order][new]
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -82,17 +103,20 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return sums[bounds[1:]] - sums[bounds[:-1]]
 
 
-def nodes_of(grams: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """128-bit names of sets: equal sets have equal names."""
+def node_names(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """128-bit names of sets, a row of bytes each: equal sets have equal names."""
     pair = np.stack([_sums(flat.mixed(grams * np.uint64(5)), bounds), _sums(flat.mixed(grams ^ _CLASS_OF), bounds)], axis=1)
-    buffer = pa.py_buffer(np.ascontiguousarray(pair).tobytes())
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(pair), [None, buffer]).cast(pa.binary())
+    return flat.mixed(pair).view(np.uint8)
 
 
 def _counter(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(44)).astype(np.int64)  # 20 bits: COUNTERS
 
 
+def _word_counter(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(46)).astype(np.int64)  # 18 bits: WORD_COUNTERS
+
+
 def frequent_from(counters: np.ndarray) -> float:
     """Counts above this stand out from what chance puts into one counter."""
     mean = counters.mean()
@@ -100,22 +124,31 @@ def frequent_from(counters: np.ndarray) -> float:
 
 
 class Signer:
-    """Signatures of sets under one table of counters."""
+    """Signatures of sets under one table of counters: of shingles, then of words."""
 
     def __init__(self, counters: np.ndarray, percent: int):
-        self._counters, self._percent, self._frequent = counters, percent, frequent_from(counters)
+        self._counters, self._percent = counters[:COUNTERS], percent
+        self._frequent = frequent_from(self._counters)
+        words = np.maximum(counters[COUNTERS:].astype(np.float64), 1)
+        self._logs = np.log(words / words.sum())
+        self._most = np.log(BY_CHANCE / words.sum())
+
+    def sets(self, texts: flat.Texts, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The sets, their bounds, and which tokens chance makes frequent."""
+        grams, bounds, chance = shingle_sets(texts, width, self._logs)
+        return grams, bounds, chance > self._most
 
     def _needed(self, n: int) -> int:
         """Tokens of a set of n that must be looked at: one more than may be missing."""
         return n - (self._percent * n + 99) // 100 + 1
 
-    def of(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    def of(self, grams: np.ndarray, by_chance: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """Signatures of one set, a place for each that bounds the overlap, and the number of rare tokens."""
         n = len(grams)
         if not n:
             return grams, np.zeros(0, np.int64), 0
         counts = self._counters[_counter(grams)]
-        common = counts > self._frequent
+        common = (counts > self._frequent) | by_chance
         rare = grams[~common]
         needed = self._needed(n)
         singles = rare[:needed]
@@ -165,16 +198,17 @@ def _measured(rows: DataFrame, width: int, id_type: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        counters, any_rows, id_kind = np.zeros(COUNTERS, np.uint32), False, None
+        counters, any_rows, id_kind = np.zeros(COUNTERS + WORD_COUNTERS, np.uint32), False, None
         for batch in batches:
             any_rows, id_kind = True, batch.schema.field(0).type
             for texts in flat.slices(batch.column(1)):
-                grams, bounds = shingle_sets(texts, width)
-                counters += np.bincount(_counter(grams), minlength=COUNTERS).astype(np.uint32)
+                grams, bounds, _ = shingle_sets(texts, width)
+                counters[:COUNTERS] += np.bincount(_counter(grams), minlength=COUNTERS).astype(np.uint32)
+                counters[COUNTERS:] += np.bincount(_word_counter(_hashes(texts)[0]), minlength=WORD_COUNTERS).astype(np.uint32)
                 k = len(texts)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(texts.first, k), pa.array(np.diff(bounds)), nodes_of(grams, bounds),
+                        batch.column(0).slice(texts.first, k), pa.array(np.diff(bounds)), bitmaps.as_binary(node_names(grams, bounds)),
                         pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()),
                     ],
                     names=["id", "n", "node", "chunk", "counts", "task"],
@@ -207,69 +241,87 @@ def _counters(measured: DataFrame) -> np.ndarray:
     chunks = measured.filter(F.col("chunk").isNotNull())
     some = chunks.select("chunk", (F.col("task") / 256).cast("int").alias("part"), "counts").groupBy("chunk", "part").applyInPandas(add, schema)
     whole = some.select("chunk", F.lit(0).alias("part"), "counts").groupBy("chunk").applyInPandas(add, schema)
-    total = np.zeros(COUNTERS, np.uint32)
-    for row in whole.collect():  # COUNTERS in all, whatever the input
+    total = np.zeros(COUNTERS + WORD_COUNTERS, np.uint32)
+    for row in whole.collect():  # as many in all, whatever the input
         total[row["chunk"] * _CHUNK : (row["chunk"] + 1) * _CHUNK] = np.frombuffer(row["counts"], np.uint32)
     return total
 
 
 def _live(rows: DataFrame, width: int, percent: int, counters) -> np.ndarray:
-    """A bitmap of the signatures that more than one node has; hashes share bits."""
+    """A bitmap of the signatures that more than one node has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(counters.value, percent)
         for batch in batches:
             for texts in flat.slices(batch.column(1)):
-                grams, bounds = shingle_sets(texts, width)
-                found = [signer.of(grams[a:b])[0] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                name = _sums(flat.mixed(grams * np.uint64(5)), bounds)
+                grams, bounds, by_chance = signer.sets(texts, width)
+                found = [signer.of(grams[a:b], by_chance[a:b])[0] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 sizes = np.array([len(f) for f in found], np.int64)
+                names = np.repeat(node_names(grams, bounds)[:, :8].copy().view(np.int64)[:, 0], sizes)
                 signatures = np.concatenate([np.zeros(0, np.uint64), *found])
-                yield pa.RecordBatch.from_arrays([pa.array(signatures.view(np.int64)), pa.array(np.repeat(name, sizes).view(np.int64))], names=["sig", "name"])
+                yield pa.RecordBatch.from_arrays([pa.array(signatures.view(np.int64)), pa.array(names)], names=["sig", "name"])
 
-    several = rows.mapInArrow(run, "sig bigint, name bigint").groupBy("sig").agg(F.min("name").alias("low"), F.max("name").alias("high")).filter("low != high")
-    bit = F.col("sig").bitwiseAND(F.lit(_LIVE_BITS - 1)) + 1  # the functions count from 1
-    bits = several.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("position"))
-    bitmap = np.zeros(_LIVE_BITS // 8, np.uint8)
-    for row in bits.groupBy("bucket").agg(F.bitmap_construct_agg("position").alias("bytes")).collect():  # 8 MB at most
-        first = (row["bucket"] - 1) * 4096
-        bitmap[first : first + 4096] = np.frombuffer(row["bytes"], np.uint8)
-    return bitmap
+    signed = rows.mapInArrow(run, "sig bigint, name bigint")
+    several = signed.groupBy("sig").agg(F.min("name").alias("low"), F.max("name").alias("high")).filter("low != high")
+    return bitmaps.collected(several, bitmaps.bit_of_long(F.col("sig")))
 
 
-def _nodes(rows: DataFrame, width: int, percent: int, counters, bitmap) -> DataFrame:
-    """Nodes with a live signature: size, rare tokens, signatures and their places, and the set itself."""
+def _nodes(rows: DataFrame, width: int, percent: int, counters, live) -> DataFrame:
+    """Nodes with a live signature: size, rare tokens, signatures and their places, and how the tokens spread over ``SPREAD`` parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer, live = Signer(counters.value, percent), bitmap.value
+        signer = Signer(counters.value, percent)
         for batch in batches:
             for texts in flat.slices(batch.column(1)):
-                grams, bounds = shingle_sets(texts, width)
-                names = nodes_of(grams, bounds)
-                out = []
+                grams, bounds, by_chance = signer.sets(texts, width)
+                names, out, at = node_names(grams, bounds), [], []
                 for i in range(len(texts)):
                     own = grams[bounds[i] : bounds[i + 1]]
-                    signatures, places, rare = signer.of(own)
-                    at = _bit(signatures)
-                    held = (live[at >> 3] >> (at & 7)) & 1 == 1
+                    signatures, places, rare = signer.of(own, by_chance[bounds[i] : bounds[i + 1]])
+                    held = bitmaps.holds(live.value, signatures)
                     if held.any():
-                        out.append((names[i], len(own), rare, signatures[held].view(np.int64), places[held], own.tobytes()))
+                        spread = np.bincount((own & np.uint64(SPREAD - 1)).astype(np.int64), minlength=SPREAD)
+                        out.append((len(own), rare, signatures[held].view(np.int64), places[held], spread))
+                        at.append(i)
                 if out:
-                    columns = list(zip(*out, strict=True))
-                    kinds = (pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
-                    arrays = [pa.array([x.as_py() for x in columns[0]], pa.binary()), *[pa.array(c, k) for c, k in zip(columns[1:], kinds[1:], strict=True)]]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["node", "n", "rare", "sigs", "places", "grams"])
+                    kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+                    arrays = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([bitmaps.as_binary(names[at]), *arrays], names=["node", "n", "rare", "sigs", "places", "spread"])
 
-    schema = "node binary, n int, rare int, sigs array<bigint>, places array<int>, grams binary"
+    schema = "node binary, n int, rare int, sigs array<bigint>, places array<int>, spread array<int>"
     return rows.mapInArrow(run, schema).dropDuplicates(["node"])
 
 
-def _bit(signatures: np.ndarray) -> np.ndarray:
-    return (signatures & np.uint64(_LIVE_BITS - 1)).astype(np.int64)
+def _sets(rows: DataFrame, width: int, pairs: DataFrame) -> DataFrame:
+    """The sets of the nodes in the pairs, and of a few others."""
+    names = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    wanted = rows.sparkSession.sparkContext.broadcast(bitmaps.collected(names, bitmaps.bit_of_name(F.col("node"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in flat.slices(batch.column(1)):
+                grams, bounds, _ = shingle_sets(texts, width)
+                names = node_names(grams, bounds)
+                at = np.flatnonzero(bitmaps.holds_names(wanted.value, names))
+                if len(at):
+                    own = [grams[bounds[i] : bounds[i + 1]].tobytes() for i in at]
+                    yield pa.RecordBatch.from_arrays([bitmaps.as_binary(names[at]), pa.array(own, pa.binary())], names=["node", "grams"])
+
+    return rows.mapInArrow(run, "node binary, grams binary").dropDuplicates(["node"])
+
+
+def _near_enough(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose tokens are spread alike: no more can be shared than the smaller number in each part."""
+    first = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("spread").alias("s_a"))
+    second = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("spread").alias("s_b"))
+    most = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+    both = pairs.join(first, "a").join(second, "b").filter((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b")))
+    return both.select("a", "b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
+    sets = written(_sets(rows, width, pairs), "sets")
     first = sets.select(F.col("node").alias("a"), F.col("grams").alias("left"))
     second = sets.select(F.col("node").alias("b"), F.col("grams").alias("right"))
 
@@ -304,17 +356,17 @@ def linked_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     measured = written(_measured(rows, width, _id_type(docs, id_column)), "shingle-sets")
     counters = context.broadcast(_counters(measured))
-    bitmap = context.broadcast(_live(rows, width, percent, counters))
-    nodes = written(_nodes(rows, width, percent, counters, bitmap), "shingle-nodes")
-    sets = nodes.select("node", "grams")
+    live = context.broadcast(_live(rows, width, percent, counters))
+    nodes = written(_nodes(rows, width, percent, counters, live), "shingle-nodes")
     postings = nodes.select("node", "n", "rare", F.explode(F.arrays_zip("sigs", "places")).alias("x")).select("node", "n", "rare", F.col("x.sigs").alias("sig"), F.col("x.places").alias("place"))
 
     # One node under each signature, with few tokens of its own, against all others.
     centre = postings.groupBy("sig").agg(F.min(F.struct("rare", "node", "n", "place")).alias("c"))
     centre = centre.select("sig", F.col("c.node").alias("node"), F.col("c.n").alias("n"), F.col("c.place").alias("place"))
     near = postings.alias("x").join(centre.alias("y"), "sig").filter((F.col("x.node") != F.col("y.node")) & _possible(percent, "x", "y"))
-    tried = written(near.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
-    links = written(_verified(tried, sets, percent), "links")
+    near = near.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    tried = written(_near_enough(near, nodes, percent), "pairs")
+    links = written(_verified(tried, rows, width, percent), "links")
 
     # Then those that are not yet in one component.
     roots = components(links)
@@ -322,9 +374,10 @@ def linked_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     open_ = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("sig")
     rest = written(placed.join(open_, "sig", "left_semi"), "postings")
     cross = rest.alias("x").join(rest.alias("y"), "sig").filter((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _possible(percent, "x", "y"))
-    new = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = written(_verified(new, sets, percent), "links")
-    roots = components(links.union(more))
+    cross = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    new = written(_near_enough(cross, nodes, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not new.isEmpty():
+        roots = components(links.union(written(_verified(new, rows, width, percent), "links")))
 
     rows = measured.filter(F.col("chunk").isNull()).select("id", "n", "node")
     held = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
