@@ -119,3 +119,16 @@ def test_keys_of_another_type_meet_their_rows(spark, folder):
     table.merge(spark.createDataFrame([(k, 0, "old") for k in range(10)], "k BIGINT, t INT, v STRING"))
     table.merge(spark.createDataFrame([(k, 1, "new") for k in range(10)], BASE))
     assert rows_of(table.read(spark), "v") == [("new",)] * 10
+
+
+def test_a_change_of_the_same_age_beats_the_base_row(spark, folder):
+    """Batch and stream agree on ties, deletions included, and a batch again changes nothing."""
+    base = spark.range(40).selectExpr("id AS k", "1 AS t", "'base' AS v")
+    changes = spark.range(20).selectExpr("id AS k", "1 AS t", "'new' AS v", "IF(id % 2 = 0, 'D', 'U') AS change_op")
+    expected = rows_of(apply_changes(base, changes, ["k"], ["t"]))
+    table = CurrentTable(f"{folder}/t", ("k",), ("t",), buckets=4)
+    table.merge(base.withColumn("change_op", F.lit(None).cast("string")))
+    for _ in range(2):
+        table.merge(changes)
+        assert rows_of(table.read(spark), "k", "t", "v") == expected
+    assert len(expected) == 30

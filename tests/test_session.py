@@ -15,5 +15,5 @@ def test_partitions_follow_the_shuffled_size():
     assert partitions(0, 8) == 16
     assert partitions(100 * gib, 8) == 400
     assert partitions(10 * tib, 4000) == 40_960
-    assert partitions(100 * tib, 4000) == 50_000
-    assert partitions(100 * tib, 40_000) == 80_000
+    assert partitions(100 * tib, 4000) == 409_600
+    assert partitions(tib, 40_000) == 80_000

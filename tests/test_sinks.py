@@ -8,7 +8,7 @@ from tributary import names, schemas
 from tributary.sinks.audit import logged, now, read_log
 from tributary.sinks.layers import append_load, publish, replace_snapshot, set_up_layers
 from tributary.sources.tables import read_appended, read_raw, read_snapshot
-from tributary.storage import CHECKPOINT_SETTING, Folder, shared_folder, work_folder
+from tributary.storage import CHECKPOINT_SETTING, WAREHOUSE_SETTING, Folder, shared_folder, work_folder
 
 DAY = datetime(2026, 1, 1, 23, tzinfo=timezone.utc)
 
@@ -163,34 +163,29 @@ def test_run_ids_that_look_like_numbers_stay_text(spark, folder):
 
 
 class Session:
-    """As much of a session as the search for its shared folder asks."""
+    """What a session says of its shared folders."""
 
-    def __init__(self, master, setting=None):
-        self.master, self.setting, self.folder = master, setting, None
-        self.sparkContext = self.conf = self
+    def __init__(self, checkpoints=None, warehouse=None):
+        self.settings = {CHECKPOINT_SETTING: checkpoints, WAREHOUSE_SETTING: warehouse}
+        self.conf, self.sparkContext = self, self
 
     def get(self, name, default):
-        assert name == CHECKPOINT_SETTING
-        return self.setting or default
+        return self.settings[name] or default
 
     def getCheckpointDir(self):
-        return self.folder
-
-    def setCheckpointDir(self, folder):
-        self.folder = folder
+        return None
 
 
 def test_working_folders_are_in_the_folder_the_session_names():
-    session = Session("spark://host:7077", "hdfs://shared/checkpoints")
+    session = Session("hdfs://shared/checkpoints")
     assert work_folder(session, "a").startswith("hdfs://shared/checkpoints/a-")
     assert work_folder(session, "a") != work_folder(session, "a")
 
 
-def test_only_a_local_session_gets_a_folder_of_its_own():
-    local = Session("local[4]")
-    assert shared_folder(local) == local.folder == shared_folder(local)
+def test_without_one_they_are_in_the_warehouse_and_never_local():
+    assert shared_folder(Session(warehouse="hdfs://warehouse")) == "hdfs://warehouse/_work"
     with pytest.raises(ValueError, match="executors share"):
-        shared_folder(Session("yarn"))
+        shared_folder(Session())
 
 
 def test_the_clock_knows_its_zone():

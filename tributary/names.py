@@ -55,6 +55,11 @@ def raw_path(root: str, table: str) -> str:
     return f"{root}/{raw_schema(DOMAIN_OF.get(table, 'marketing'))}/{table}"
 
 
+def file_drop_path(root: str, table: str) -> str:
+    """Where arrived files go, whatever their name: always the file drop's own schema."""
+    return f"{root}/{raw_schema('marketing')}/{table}"
+
+
 def transformed_path(root: str, table: str) -> str:
     return f"{root}/{transformed_schema(DOMAIN_OF[table])}/{table}"
 

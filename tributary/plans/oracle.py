@@ -262,7 +262,7 @@ ORACLE_SQL: dict[str, str] = {
     "snapshot_replace": """
         SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders
     """,
-    "append_loads": "SELECT o_orderkey, o_totalprice, 2 * count(*) AS copies FROM orders GROUP BY o_orderkey, o_totalprice",
+    "append_loads": "SELECT orders.*, 2 * count(*) AS copies FROM orders GROUP BY ALL",
     "refresh_transactions": CLEANERS["transactions"],
     "refresh_customer_summary": _customer_summary(
         CLEANERS["customers"], CLEANERS["transactions"], CLEANERS["user_sessions"]

@@ -384,12 +384,12 @@ def append_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     append_load(orders, path, "load-1")
     append_load(orders, path, "load-1")
     appended = read_appended(spark, path)
-    return appended.groupBy("o_orderkey", "o_totalprice").agg(F.count(F.lit(1)).alias("copies"))
+    return appended.groupBy(*orders.columns).agg(F.count(F.lit(1)).alias("copies"))
 
 
 # --- both layers, from raw tables ------------------------------------------------------------
 
-_REFRESHED = ("customers", "transactions", "user_sessions", "campaigns", "conversions")
+_REFRESHED = names.ENTITIES
 
 
 def _refreshed(spark: SparkSession, sf_dir: str, exact: bool = False) -> str:

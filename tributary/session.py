@@ -33,9 +33,6 @@ def apply_settings(spark: SparkSession) -> SparkSession:
 
 
 _TASK_BYTES = 256 * 1024 * 1024
-# Beyond this many, the blocks between map and reduce tasks cost more than the
-# larger partitions do, which sort and aggregate with spilling.
-_MOST_PARTITIONS = 50_000
 
 
 def sized_for(shuffled_bytes: int, cores: int) -> dict[str, str]:
@@ -44,7 +41,7 @@ def sized_for(shuffled_bytes: int, cores: int) -> dict[str, str]:
     The number of partitions is an upper bound: adaptive execution merges small
     ones up to the advisory size, but never makes more of them.
     """
-    partitions = min(max(ceil(shuffled_bytes / _TASK_BYTES), 2 * cores), max(_MOST_PARTITIONS, 2 * cores))
+    partitions = max(ceil(shuffled_bytes / _TASK_BYTES), 2 * cores)
     return {
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(_TASK_BYTES),

@@ -52,6 +52,12 @@ def _not_too_long(columns: Sequence[str]) -> Column:
     return F.when(record.isNotNull() & beyond.isNotNull(), F.raise_error(problem).cast("boolean")).otherwise(True)
 
 
+def _blank(columns: Sequence[str]) -> Column:
+    """A line of white space is no record, however the file is read."""
+    line = F.col(_AS_IS) if len(columns) > 1 else F.coalesce(F.col(_AS_IS), F.col(f"`{columns[0]}`"))
+    return F.coalesce(line.rlike(r"^\s*$"), F.lit(False))
+
+
 def read_delimited(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -68,7 +74,7 @@ def read_delimited(
     with too few cells is filled up with nulls; one with too many is an error.
 
     Quoted cells may hold line ends, so a file is read by one task.  A file that
-    has none there, see :func:`lines_are_records`, can be split among many with
+    has none there, see :func:`files_with_cut_records`, can be split among many with
     ``multi_line=False``.
     """
     chosen = paths if isinstance(paths, str) else list(paths)
@@ -84,7 +90,7 @@ def read_delimited(
         .option("columnNameOfCorruptRecord", _AS_IS)
     )
     columns = reader.csv(chosen).columns if schema is None else schema.names
-    records = reader.schema(_strings([*columns, _AS_IS])).csv(chosen).filter(_not_too_long(columns))
+    records = reader.schema(_strings([*columns, _AS_IS])).csv(chosen).filter(~_blank(columns) & _not_too_long(columns))
     present = records.select(*[_present(name).alias(name) for name in columns])
     if schema is None:
         return present
@@ -104,12 +110,13 @@ def file_headers(spark: SparkSession, paths: Sequence[str], encoding: str = ENCO
         return list(pool.map(header, paths))
 
 
-def lines_are_records(spark: SparkSession, path: str) -> bool:
-    """Whether every line of the file is a whole record.
+def files_with_cut_records(spark: SparkSession, paths: Sequence[str]) -> set[str]:
+    """The files in which some line is not a whole record, as paths; one parallel job for all.
 
-    Then each line starts one and ends it, so reading line by line, in parallel,
-    gives what reading from the start gives.  The check is parallel as well, and
-    ends at the first line that is not.
+    In every other file each line starts a record and ends it, so reading line
+    by line, in parallel, gives what reading from the start gives.
     """
-    lines = spark.read.option("lineSep", "\n").text(path)
-    return lines.filter(~F.col("value").rlike(_WHOLE_RECORD)).isEmpty()
+    lines = spark.read.option("lineSep", "\n").text(list(paths)).select("value", "_metadata.file_path")
+    cut = lines.filter(~F.col("value").rlike(_WHOLE_RECORD)).select("file_path").distinct()
+    jvm = spark._jvm  # file_path is a URL; the paths given are not
+    return {jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(row["file_path"])).toString() for row in cut.collect()}

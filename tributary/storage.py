@@ -2,29 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+WAREHOUSE_SETTING = "spark.sql.warehouse.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, as the session names it.
+    """The folder all executors see: the checkpoint folder, else one in the warehouse.
 
-    Only a local session, where driver and executors are one process, may go
-    without: it gets a temporary folder as its checkpoint folder.
+    Nothing here is removed by the library, as results may be read from it until
+    the session ends; whoever runs the session clears the folder afterwards.
     """
-    context = spark.sparkContext
-    folder = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
+    folder = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
-    if not context.master.startswith("local"):
+    warehouse = spark.conf.get(WAREHOUSE_SETTING, None)
+    if not warehouse:
         raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="tributary-"))
-    return context.getCheckpointDir()
+    return f"{warehouse}/_work"
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:

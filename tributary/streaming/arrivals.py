@@ -24,15 +24,12 @@ from tributary.functions.stamps import rename_present, stamp_instant
 from tributary.plans.ingest import LoadError, run_all
 from tributary.sinks.audit import logged
 from tributary.sinks.layers import append_load, publish
-from tributary.sources.delimited import file_headers, lines_are_records, read_delimited
+from tributary.sources.delimited import file_headers, files_with_cut_records, read_delimited
 
 SOURCE_NAME = "FILE_DROP"
 SERVICE = "SPARK_STREAMING"
 RAW_SCHEMA = names.raw_schema("marketing")
 
-# Files longer than this are checked for being splittable.
-SPLIT_ABOVE = 256 * 1024 * 1024
-
 _FILE_COLUMNS = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 
@@ -52,11 +49,11 @@ def discover(spark: SparkSession, inbox: str, archive: str | None = None, files_
     return reader.load(inbox).select("path", "length")
 
 
-def files_by_table(files: DataFrame) -> dict[str, list[tuple[str, int]]]:
-    """Paths and lengths of a batch's files by target table, at most ``files_per_batch`` in all."""
-    routed = files.select(table_of_file(F.col("path")).alias("table"), F.struct("path", "length").alias("file"))
-    groups = routed.groupBy("table").agg(F.sort_array(F.collect_list("file")).alias("files"))
-    return {row["table"]: [(file["path"], file["length"]) for file in row["files"]] for row in groups.collect()}
+def files_by_table(files: DataFrame) -> dict[str, list[str]]:
+    """Paths of a batch's files by target table, at most ``files_per_batch`` in all; what no table name may hold becomes ``_``."""
+    routed = files.select(F.regexp_replace(table_of_file(F.col("path")), r"[^a-z0-9_]", "_").alias("table"), "path")
+    groups = routed.groupBy("table").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return {row["table"]: list(row["paths"]) for row in groups.collect()}
 
 
 def _in_file_order(table: str, header: tuple[str, ...]) -> StructType | None:
@@ -70,19 +67,18 @@ def _in_file_order(table: str, header: tuple[str, ...]) -> StructType | None:
     return StructType([declared[name] for name in header])
 
 
-def read_files(spark: SparkSession, table: str, files: list[tuple[str, int]], split_above: int) -> DataFrame:
+def read_files(spark: SparkSession, table: str, files: list[str]) -> DataFrame:
     """Read files of one table, whatever the order of their columns.
 
-    Files with the same header are read together, large ones by many tasks
-    wherever their lines allow it.  Columns are matched by name; those that a
+    Files with the same header are read together, by many tasks wherever their
+    lines allow it; one job tells for all files.  Columns are matched by name; those that a
     file lacks are null.
     """
-    headers = file_headers(spark, [path for path, _ in files])
+    headers = file_headers(spark, files)
+    whole = files_with_cut_records(spark, [_escaped(path) for path in files])
     groups: dict[tuple[tuple[str, ...], bool], list[str]] = {}
-    for (path, length), header in zip(files, headers, strict=True):
-        literal = _escaped(path)
-        splittable = length > split_above and lines_are_records(spark, literal)
-        groups.setdefault((header, splittable), []).append(literal)
+    for path, header in zip(files, headers, strict=True):
+        groups.setdefault((header, path not in whole), []).append(_escaped(path))
     parts = [
         read_delimited(spark, paths, _in_file_order(table, header), multi_line=not splittable)
         for (header, splittable), paths in groups.items()
@@ -99,14 +95,15 @@ def load_files(
     spark: SparkSession,
     root: str,
     table: str,
-    files: list[tuple[str, int]],
+    files: list[str],
     load_id: str,
     run_start: datetime,
-    split_above: int = SPLIT_ABOVE,
 ) -> int:
     """Read one table's files, stamp and rename, and append them; return the row count."""
-    rows = read_files(spark, table, files, split_above)
-    path = names.raw_path(root, table)
+    if not table:
+        raise ValueError(f"no table name in {files}")
+    rows = read_files(spark, table, files)
+    path = names.file_drop_path(root, table)
     inserted = append_load(rename_present(stamp_instant(rows, run_start)), path, load_id)
     publish(spark, RAW_SCHEMA, table, path)
     return inserted
@@ -122,7 +119,6 @@ def batch_loader(
     root: str,
     stream_name: str,
     on_failure: str = "raise",
-    split_above: int = SPLIT_ABOVE,
     parallel: int = 4,
 ) -> Callable[[DataFrame, int], None]:
     """What to do with each micro-batch of arrived files.
@@ -137,7 +133,7 @@ def batch_loader(
     def load_batch(files: DataFrame, batch_id: int) -> None:
         load_id = f"{stream_name}-{batch_id}"
 
-        def load_feed(table: str, found: list[tuple[str, int]]) -> int:
+        def load_feed(table: str, found: list[str]) -> int:
             return logged(
                 spark,
                 root,
@@ -145,7 +141,7 @@ def batch_loader(
                 RAW_SCHEMA,
                 table,
                 SERVICE,
-                lambda started: load_files(spark, root, table, found, load_id, started, split_above),
+                lambda started: load_files(spark, root, table, found, load_id, started),
                 run_id=f"{load_id}-{table}",
             )
 
@@ -168,18 +164,16 @@ def ingest_arrivals(
     stream_name: str = "arrivals",
     files_per_batch: int = 1000,
     on_failure: str = "raise",
-    split_above: int = SPLIT_ABOVE,
     every: str | None = None,
 ) -> StreamingQuery:
     """Start loading ``inbox`` into the raw layer under ``root``.
 
     By default it loads what is there and ends; with ``every`` (such as
     ``"30 minutes"``) it keeps going.  ``stream_name`` must stay the same for
-    the life of the checkpoint, and differ between streams on one root.  Files
-    of more than ``split_above`` bytes are read by many tasks where possible.
+    the life of the checkpoint, and differ between streams on one root.
     """
     files = discover(spark, inbox, archive, files_per_batch)
-    writer = files.writeStream.foreachBatch(batch_loader(spark, root, stream_name, on_failure, split_above)).option(
+    writer = files.writeStream.foreachBatch(batch_loader(spark, root, stream_name, on_failure)).option(
         "checkpointLocation", checkpoint
     )
     writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)

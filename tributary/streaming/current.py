@@ -7,6 +7,7 @@ put in place; whatever dies in between, running the batch again finishes it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tributary import names
+from tributary.operators.changes import CHANGE_OP
 from tributary.operators.latest import latest_by_key
 from tributary.sources.tables import KEY_BUCKET, KEY_BUCKETS, is_current, read_current
 from tributary.storage import Folder
 
 
+_INCOMING, _IS_CHANGE = "__incoming", "__is_change"
+
+
 @dataclass(frozen=True)
 class CurrentTable:
     """A current-state table: where it is and which of a key's rows is newest.
@@ -40,6 +45,10 @@ class CurrentTable:
     def _staging(self) -> str:
         return f"{self.path}__staging"
 
+    @property
+    def _incoming(self) -> str:
+        return f"{self.path}__incoming"
+
     @property
     def _content(self) -> str:
         return f"{self.path}/{KEY_BUCKETS}={self.buckets}"
@@ -58,17 +67,27 @@ class CurrentTable:
             # Equal keys of different types would fall into different buckets.
             batch = batch.withColumns({key: F.col(key).cast(stored.schema[key].dataType) for key in self.keys})
         # One row per key before anything else: a hot key in the batch ends here.
-        rows = self._with_bucket(latest_by_key(batch, self.keys, self.order_by, self.tie_break))
+        rows = self._with_bucket(self._newest(batch.withColumn(_INCOMING, F.lit(1)), self.keys))
         if stored is not None:
-            touched = self._with_bucket(batch.select(*self.keys)).select(KEY_BUCKET).distinct()
+            # Written by bucket, the batch is read once, and its folders name the buckets it touches.
+            rows.write.partitionBy(KEY_BUCKET).mode("overwrite").parquet(self._incoming)
             # At most ``buckets`` small numbers; as literals they prune the scan.
-            numbers = [row[KEY_BUCKET] for row in touched.collect()]
-            rows = stored.filter(F.col(KEY_BUCKET).isin(numbers)).unionByName(rows)
+            numbers = [int(value) for value in Folder(spark, self._incoming).partition_values(KEY_BUCKET)]
+            rows = spark.read.schema(rows.schema).parquet(self._incoming)
+            rows = stored.filter(F.col(KEY_BUCKET).isin(numbers)).withColumn(_INCOMING, F.lit(0)).unionByName(rows)
         # One shuffle serves both the choice of the newest of a key's two rows and
         # the write: a bucket is one task and one file.
-        return latest_by_key(
-            rows.repartition(KEY_BUCKET), [KEY_BUCKET, *self.keys], self.order_by, self.tie_break
-        )
+        return self._newest(rows.repartition(KEY_BUCKET), [KEY_BUCKET, *self.keys]).drop(_INCOMING)
+
+    def _newest(self, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """The rule of ``latest_changes``: of the same age, a change beats a base row.
+
+        Then the tie-break decides, and at last the batch beats what is stored.
+        """
+        if CHANGE_OP not in rows.columns:
+            return latest_by_key(rows, keys, self.order_by, [*self.tie_break, _INCOMING])
+        marked = rows.withColumn(_IS_CHANGE, F.col(CHANGE_OP).isNotNull().cast("int"))
+        return latest_by_key(marked, keys, [*self.order_by, _IS_CHANGE], [*self.tie_break, _INCOMING]).drop(_IS_CHANGE)
 
     def merge(self, batch: DataFrame, batch_id: int | None = None) -> None:
         """Bring the rows of ``batch`` in.  The same batch again changes nothing."""
@@ -79,6 +98,7 @@ class CurrentTable:
         self._put_in_place(spark)
         self._merged(batch).write.partitionBy(KEY_BUCKET).mode("overwrite").parquet(self._staging)
         self._put_in_place(spark)
+        Folder(spark, self._incoming).remove()
 
     def _put_in_place(self, spark: SparkSession) -> None:
         """Replace the buckets that are written aside in full, if there are any.
