@@ -37,6 +37,10 @@ HEADLINE = (
     "csv_scan",
     "table_loads",
     "stream_ingest_latest",
+    "cdc_apply_stream",
+    "file_arrivals",
+    "append_loads",
+    "snapshot_replace",
     "refresh_customer_summary",
 )
 
