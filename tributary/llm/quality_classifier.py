@@ -14,7 +14,8 @@ time, in the partitions where they are.
 
 Defined results: a null text is scored as an empty one. Labels that are null
 are left out; of several labels for an id the lowest counts; several texts of a
-labelled id all count. Without two classes in the sample the network stays as
+labelled id all count. Arithmetic is in single precision: beyond six digits a
+score may depend on the texts scored beside it. Without two classes in the sample the network stays as
 it was initialised, and scores follow the sample's share of label 1.
 """
 
