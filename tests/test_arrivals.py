@@ -48,17 +48,17 @@ CONVERSIONS = "conversion_id,customer_id,campaign_id,conversion_time,conversion_
 
 
 def test_files_go_to_their_tables_once(drop):
-    drop.put("Ads.1.csv", ADS + "101,1,Banner,caf\xe9,2026-09-25 10:00:00\n102,1,Video,NA,2026-09-26 12:30:00\n")
-    drop.put(" CONVERSIONS .csv", CONVERSIONS + "3001,201,1,2026-10-05 10:20:00,Purchase,1200.50\n")
+    drop.put("Ads.1.csv", ADS + "71,1,Poster,caf\xe9,2025-02-08 06:15:00\n72,3,Leaflet,NA,2025-05-20 18:00:00\n")
+    drop.put(" CONVERSIONS .csv", CONVERSIONS + "701,9,1,2025-02-12 12:00:00,Order,49.95\n")
     drop.run()
     drop.run()
-    assert rows_of(drop.raw("ads"), "ad_id", "headline") == [(101, "caf\xe9"), (102, None)]
-    assert rows_of(drop.raw("conversions"), "conversion_id", "revenue") == [(3001, Decimal("1200.5"))]
+    assert rows_of(drop.raw("ads"), "ad_id", "headline") == [(71, "caf\xe9"), (72, None)]
+    assert rows_of(drop.raw("conversions"), "conversion_id", "revenue") == [(701, Decimal("49.95"))]
     assert drop.log() == [("ads", 2, "succeeded"), ("conversions", 1, "succeeded")]
 
 
 def test_load_time_replaces_the_files_created_at(drop, spark):
-    drop.put("ads.csv", ADS + "101,1,Banner,x,1999-01-01 00:00:00\n")
+    drop.put("ads.csv", ADS + "71,1,Poster,x,1999-01-01 00:00:00\n")
     drop.run()
     raw = drop.raw("ads")
     assert raw.columns == [*schemas.columns(schemas.SOURCE["ads"]), "modified_at"]
@@ -67,13 +67,13 @@ def test_load_time_replaces_the_files_created_at(drop, spark):
 
 
 def test_a_later_file_is_appended_and_loaded_files_are_archived(drop):
-    drop.put("ads.1.csv", ADS + "101,1,Banner,old,2026-09-25 10:00:00\n")
+    drop.put("ads.1.csv", ADS + "71,1,Poster,old,2025-02-08 06:15:00\n")
     drop.run()
-    drop.put("ads.2.csv", ADS + "101,1,Banner,new,2026-09-25 10:00:00\n")
+    drop.put("ads.2.csv", ADS + "71,1,Poster,new,2025-02-08 06:15:00\n")
     drop.run()
     assert rows_of(drop.raw("ads"), "headline") == [("new",), ("old",)]
     assert drop.archived() == ["ads.1.csv"]
-    drop.put("ads.3.csv", ADS + "103,1,Banner,third,2026-09-25 10:00:00\n")
+    drop.put("ads.3.csv", ADS + "73,1,Poster,third,2025-02-08 06:15:00\n")
     drop.run()
     assert drop.archived() == ["ads.1.csv", "ads.2.csv"]
     assert drop.raw("ads").count() == 3
@@ -81,7 +81,7 @@ def test_a_later_file_is_appended_and_loaded_files_are_archived(drop):
 
 def test_many_small_batches_load_everything_once(drop):
     for i in range(5):
-        drop.put(f"ads.{i}.csv", ADS + f"{i},1,Banner,x,2026-09-25 10:00:00\n")
+        drop.put(f"ads.{i}.csv", ADS + f"{i},1,Poster,x,2025-02-08 06:15:00\n")
     drop.run(files_per_batch=2)
     assert rows_of(drop.raw("ads"), "ad_id") == [(i,) for i in range(5)]
     assert sum(rows for _, rows, _ in drop.log()) == 5 and len(drop.log()) == 3
@@ -96,20 +96,20 @@ def test_an_undeclared_feed_gets_its_own_table(drop, spark):
 
 
 def test_a_bad_file_stops_the_stream_after_the_other_feeds(drop):
-    drop.put("ads.csv", ADS + "many,1,Banner,x,2026-09-25 10:00:00\n")
-    drop.put("conversions.csv", CONVERSIONS + "3001,201,1,2026-10-05 10:20:00,Purchase,1200.50\n")
+    drop.put("ads.csv", ADS + "many,1,Poster,x,2025-02-08 06:15:00\n")
+    drop.put("conversions.csv", CONVERSIONS + "701,9,1,2025-02-12 12:00:00,Order,49.95\n")
     with pytest.raises(StreamingQueryException, match="ads"):
         drop.run()
     assert drop.log() == [("ads", None, "failed"), ("conversions", 1, "succeeded")]
     # Mended in place, the batch is run again: the good feed is not loaded twice.
-    drop.put("ads.csv", ADS + "101,1,Banner,x,2026-09-25 10:00:00\n")
+    drop.put("ads.csv", ADS + "71,1,Poster,x,2025-02-08 06:15:00\n")
     drop.run()
     assert drop.log() == [("ads", 1, "succeeded"), ("conversions", 1, "succeeded")]
     assert drop.raw("conversions").count() == 1 and drop.raw("ads").count() == 1
 
 
 def test_a_bad_file_can_be_logged_and_passed_over(drop, spark):
-    drop.put("ads.csv", ADS + "many,1,Banner,x,2026-09-25 10:00:00\n")
+    drop.put("ads.csv", ADS + "many,1,Poster,x,2025-02-08 06:15:00\n")
     drop.run(on_failure="log")
     drop.put("clicks.csv", "click_id,ad_id,customer_id,click_time,device_type\n1,2,3,2026-01-01 00:00:00,web\n")
     drop.run(on_failure="log")
@@ -119,15 +119,15 @@ def test_a_bad_file_can_be_logged_and_passed_over(drop, spark):
 
 
 def test_file_names_with_pattern_characters_are_taken_literally(drop):
-    drop.put("ads.[1].{a,b}*.csv", ADS + "101,1,Banner,x,2026-09-25 10:00:00\n")
-    drop.put("ads.1.a.csv", ADS + "102,1,Banner,y,2026-09-25 10:00:00\n")
+    drop.put("ads.[1].{a,b}*.csv", ADS + "71,1,Poster,x,2025-02-08 06:15:00\n")
+    drop.put("ads.1.a.csv", ADS + "72,1,Poster,y,2025-02-08 06:15:00\n")
     drop.run(files_per_batch=1)
-    assert rows_of(drop.raw("ads"), "ad_id") == [(101,), (102,)]
+    assert rows_of(drop.raw("ads"), "ad_id") == [(71,), (72,)]
 
 
 def test_files_of_any_size_are_discovered_without_reading_them(drop, spark):
     limit = "spark.sql.sources.binaryFile.maxLength"
-    drop.put("ads.csv", ADS + "101,1,Banner,x,2026-09-25 10:00:00\n")
+    drop.put("ads.csv", ADS + "71,1,Poster,x,2025-02-08 06:15:00\n")
     try:
         spark.conf.set(limit, 8)  # reading a longer file's content is an error
         drop.run()
@@ -137,11 +137,11 @@ def test_files_of_any_size_are_discovered_without_reading_them(drop, spark):
 
 
 def test_line_ends_in_cells_and_blank_lines(drop):
-    lines = "".join(f'{i},1,Banner,"no ""{i}"", or",2026-09-25 10:00:00\n' for i in range(300))
+    lines = "".join(f'{i},1,Poster,"no ""{i}"", or",2025-02-08 06:15:00\n' for i in range(300))
     drop.put("ads.1.csv", ADS + lines)
-    drop.put("ads.2.csv", ADS + '300,1,Banner,"two\nlines",2026-09-25 10:00:00\n')
-    drop.put("ads.3.csv", ADS + '\n   \n301,1,Banner,x,2026-09-25 10:00:00\n \t\n\n302,1,Banner,"y\nz",2026-09-25 10:00:00\n')
-    drop.put("ads.4.csv", ADS + '303,1,Banner,w,2026-09-25 10:00:00\n   \n\n')
+    drop.put("ads.2.csv", ADS + '300,1,Poster,"two\nlines",2025-02-08 06:15:00\n')
+    drop.put("ads.3.csv", ADS + '\n   \n301,1,Poster,x,2025-02-08 06:15:00\n \t\n\n302,1,Poster,"y\nz",2025-02-08 06:15:00\n')
+    drop.put("ads.4.csv", ADS + '303,1,Poster,w,2025-02-08 06:15:00\n   \n\n')
     drop.run()
     headlines = dict(rows_of(drop.raw("ads"), "ad_id", "headline"))
     assert headlines == {i: f'no "{i}", or' for i in range(300)} | {300: "two\nlines", 301: "x", 302: "y\nz", 303: "w"}
@@ -175,7 +175,7 @@ def test_a_declared_feed_takes_no_other_columns(drop):
 
 def test_an_empty_file_is_passed_over(drop):
     drop.put("clicks.csv", "")
-    drop.put("ads.csv", ADS + "101,1,Banner,x,2026-09-25 10:00:00\n")
+    drop.put("ads.csv", ADS + "71,1,Poster,x,2025-02-08 06:15:00\n")
     drop.run()
     assert drop.log() == [("ads", 1, "succeeded")]
 
@@ -193,7 +193,7 @@ def test_a_stream_can_keep_going(drop, spark):
     )
     try:
         for i in range(2):
-            drop.put(f"ads.{i}.csv", ADS + f"{i},1,Banner,x,2026-09-25 10:00:00\n")
+            drop.put(f"ads.{i}.csv", ADS + f"{i},1,Poster,x,2025-02-08 06:15:00\n")
             query.processAllAvailable()
             assert drop.raw("ads").count() == i + 1
     finally:

@@ -11,44 +11,44 @@ from tributary.operators.clean import SPECS, clean, conform
 
 EXPECTED = {
     "customers": [
-        (1, "Amit", "Sharma", "[a@x.com](mailto:a@x.com)", "100", date(1990, 1, 1), "M", "active", T, T),
-        (2, "Priya", "Patil", "b@x.com", "200", date(1991, 2, 2), "F", "active", T, T),
-        (3, "Rahul", "Verma", None, "300", date(1992, 3, 3), "M", "inactive", T, T),
+        (1, "Lena", "Bergqvist", "lena.b@example.org", "555-0101", date(1984, 5, 17), "F", "active", T, T),
+        (2, "Tomas", "Okafor", "tomas@example.net", "555-0102", date(1979, 11, 30), "M", "active", T, T),
+        (3, "Wei", "Lindholm", None, "555-0103", date(2001, 8, 8), "F", "dormant", T, T),
     ],
-    "addresses": [(1, 1, "MUMBAI", "MH", "INDIA", "400001", "home", T)],
-    "customer_preferences": [(1, "English", True, "SPORTS", T), (2, "Hindi", True, "FASHION", T)],
-    "payment_methods": [(1, 1, "CARD", "Visa", T), (2, 2, "UPI", "Gpay", T)],
+    "addresses": [(1, 1, "GOTHENBURG", "VG", "SWEDEN", "41103", "home", T)],
+    "customer_preferences": [(1, "Swedish", True, "GARDEN", T), (2, "Finnish", False, "MUSIC", T)],
+    "payment_methods": [(1, 2, "TRANSFER", "Nordbank", T), (2, 1, "WALLET", "Coinpurse", T)],
     "transactions": [
-        (1, 1, Decimal("500"), "INR", T, "SUCCESS", 1),
-        (2, 2, Decimal("1200"), "INR", T, "SUCCESS", 2),
-        (3, 1, Decimal("300"), "INR", T, "FAILED", 1),
+        (1, 1, Decimal("62.4"), "EUR", T, "SUCCESS", 1),
+        (2, 2, Decimal("915.1"), "EUR", T, "SUCCESS", 2),
+        (3, 1, Decimal("17.6"), "EUR", T, "FAILED", 1),
     ],
-    "refunds": [(1, 3, Decimal("300"), "Failed Payment", "PROCESSED", T)],
-    "user_sessions": [(1, 1, T, T, 0, "ANDROID", "1.0"), (2, 2, T, T, 0, "IOS", "1.1")],
-    "user_events": [(1, 1, 1, "CLICK", T, "Home-Screen Top"), (2, 2, 2, "VIEW", T, "Product")],
-    "category_engagement": [(1, 1, "Sports", 1200, D)],
+    "refunds": [(1, 3, Decimal("17.6"), "Parcel Lost", "SETTLED", T)],
+    "user_sessions": [(1, 1, T, T, 0, "TABLET", "4.2"), (2, 2, T, T, 0, "DESKTOP", "4.3")],
+    "user_events": [(1, 1, 1, "SCROLL", T, "Price-List End"), (2, 2, 2, "SEARCH", T, "Basket")],
+    "category_engagement": [(1, 2, "Garden", 45, D)],
     "campaigns": [
-        (1, "Diwali Sale", "FACEBOOK", date(2026, 10, 1), date(2026, 10, 31), 30, Decimal("50000"), "ACTIVE"),
-        (2, "New Year Blast", "GOOGLE ADS", date(2026, 12, 20), date(2027, 1, 5), 16, Decimal("75000"), "PLANNED"),
-        (3, "Summer Offer", "INSTAGRAM", date(2026, 4, 1), date(2026, 4, 30), 29, Decimal("30000"), "COMPLETED"),
+        (1, "Spring Bulbs", "RADIO", date(2025, 2, 10), date(2025, 2, 24), 14, Decimal("800"), "CLOSED"),
+        (2, "Choir Week", "STREET POSTERS", date(2025, 12, 28), date(2026, 1, 8), 11, Decimal("1250"), "DRAFT"),
+        (3, "Moving Out", "LETTER", date(2025, 6, 1), date(2025, 6, 30), 29, Decimal("400"), "RUNNING"),
     ],
     "ads": [
-        (101, 1, "BANNER", "Big Festival Discounts", datetime(2026, 9, 25, 10)),
-        (102, 1, "VIDEO", "Shop Now", datetime(2026, 9, 26, 12, 30)),
+        (71, 1, "POSTER", "Bulbs At Half Price", datetime(2025, 2, 8, 6, 15)),
+        (72, 3, "LEAFLET", "Pack Lightly", datetime(2025, 5, 20, 18)),
     ],
     "impressions": [
-        (1001, 101, 201, datetime(2026, 10, 5, 10, 5), "MOBILE"),
-        (1002, 102, 202, datetime(2026, 10, 5, 10, 10), "WEB"),
+        (501, 71, 9, datetime(2025, 2, 11, 8), "KIOSK"),
+        (502, 72, 8, datetime(2025, 6, 2, 19, 20), "TABLET"),
     ],
     "clicks": [
-        (2001, 101, 201, datetime(2026, 10, 5, 10, 6), "ANDROID"),
-        (2002, 102, 202, datetime(2026, 10, 5, 10, 11), "IOS"),
+        (601, 71, 9, datetime(2025, 2, 11, 8, 1, 30), "KIOSK"),
+        (602, 72, 8, datetime(2025, 6, 2, 19, 25, 10), "TABLET"),
     ],
     "conversions": [
-        (3001, 201, 1, datetime(2026, 10, 5, 10, 20), "PURCHASE", Decimal("1200.50")),
-        (3002, 202, 1, datetime(2026, 10, 5, 10, 25), "SIGNUP", Decimal("0")),
-        (3003, 203, 2, datetime(2026, 12, 22, 11, 30), "PURCHASE", Decimal("2200")),
-        (3004, 204, 3, datetime(2026, 4, 5, 10), "PURCHASE", Decimal("800.75")),
+        (701, 9, 1, datetime(2025, 2, 12, 12), "ORDER", Decimal("49.95")),
+        (702, 8, 1, datetime(2025, 2, 13, 13, 30), "NEWSLETTER", Decimal("0")),
+        (703, 7, 2, datetime(2026, 1, 2, 16, 45), "ORDER", Decimal("130")),
+        (704, 6, 3, datetime(2025, 6, 15, 9, 10), "ORDER", Decimal("61.25")),
     ],
 }
 
@@ -104,9 +104,9 @@ def test_a_failing_newest_version_removes_the_key(spark):
 
 
 def test_preferences_keep_one_row_per_customer(spark):
-    rows = [(1, 7, "English", True, "Sports", T), (2, 7, "Hindi", False, "Fashion", T + timedelta(days=1))]
+    rows = [(1, 7, "Swedish", True, "Garden", T), (2, 7, "Finnish", False, "Music", T + timedelta(days=1))]
     cleaned = clean(raw(spark, "customer_preferences", rows), SPECS["customer_preferences"])
-    assert rows_of(cleaned.drop("ingestion_time")) == [(7, "Hindi", False, "FASHION", T + timedelta(days=1))]
+    assert rows_of(cleaned.drop("ingestion_time")) == [(7, "Finnish", False, "MUSIC", T + timedelta(days=1))]
 
 
 def test_a_later_upload_with_an_earlier_end_date_loses(spark):

@@ -31,9 +31,9 @@ def result(df):
 def test_customer_summary(spark, keyed):
     inputs = [cleaned(spark, t) for t in ("customers", "transactions", "user_sessions")]
     expected = [
-        (1, "Amit", "Sharma", 2, Decimal("800"), 1),
-        (2, "Priya", "Patil", 1, Decimal("1200"), 1),
-        (3, "Rahul", "Verma", 0, None, 0),
+        (1, "Lena", "Bergqvist", 2, Decimal("80"), 1),
+        (2, "Tomas", "Okafor", 1, Decimal("915.1"), 1),
+        (3, "Wei", "Lindholm", 0, None, 0),
     ]
     summary = marts.customer_summary(*inputs, keyed=keyed)
     assert summary.schema.simpleString() == schemas.struct(schemas.CURATED["customer_summary"]).simpleString()
@@ -45,24 +45,24 @@ def test_customer_summary(spark, keyed):
 def test_sessions_multiply_spending_only_as_defined(spark, keyed):
     second = [(3, 1, T, T, "web", "2.0")]
     inputs = [cleaned(spark, "customers"), cleaned(spark, "transactions"), cleaned(spark, "user_sessions", second)]
-    assert result(marts.customer_summary(*inputs, keyed=keyed))[0] == (1, "Amit", "Sharma", 2, Decimal("1600"), 2)
-    assert result(marts.customer_summary_exact(*inputs, keyed=keyed))[0] == (1, "Amit", "Sharma", 2, Decimal("800"), 2)
+    assert result(marts.customer_summary(*inputs, keyed=keyed))[0] == (1, "Lena", "Bergqvist", 2, Decimal("160"), 2)
+    assert result(marts.customer_summary_exact(*inputs, keyed=keyed))[0] == (1, "Lena", "Bergqvist", 2, Decimal("80"), 2)
 
 
 @pytest.mark.parametrize("keyed", [False, True])
 def test_campaign_summary(spark, keyed):
     campaigns = cleaned(spark, "campaigns")
     assert result(marts.campaign_summary(campaigns, cleaned(spark, "transactions"), keyed=keyed)) == [
-        (1, "Diwali Sale", "FACEBOOK", Decimal("800")),
-        (2, "New Year Blast", "GOOGLE ADS", Decimal("1200")),
-        (3, "Summer Offer", "INSTAGRAM", None),
+        (1, "Spring Bulbs", "RADIO", Decimal("80")),
+        (2, "Choir Week", "STREET POSTERS", Decimal("915.1")),
+        (3, "Moving Out", "LETTER", None),
     ]
     by_conversion = marts.campaign_summary_by_conversion(campaigns, cleaned(spark, "conversions"), keyed=keyed)
     assert by_conversion.schema.simpleString() == schemas.struct(schemas.CURATED["campaign_summary"]).simpleString()
     assert result(by_conversion) == [
-        (1, "Diwali Sale", "FACEBOOK", Decimal("1200.50")),
-        (2, "New Year Blast", "GOOGLE ADS", Decimal("2200")),
-        (3, "Summer Offer", "INSTAGRAM", Decimal("800.75")),
+        (1, "Spring Bulbs", "RADIO", Decimal("49.95")),
+        (2, "Choir Week", "STREET POSTERS", Decimal("130")),
+        (3, "Moving Out", "LETTER", Decimal("61.25")),
     ]
 
 
