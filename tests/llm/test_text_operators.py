@@ -191,6 +191,16 @@ def test_jaccard_with_most_tokens_frequent(monkeypatch, docs, rows):
                 assert first & second
 
 
+@pytest.mark.parametrize("sizes", [(0, 1), (1, 1), (100, 90), (300, 255), (5000, 3900)])
+def test_sketches_bound_what_differs(sizes):
+    drawn = np.unique(np.random.default_rng(5).integers(0, 2**64, 12000, dtype=np.uint64))
+    for shared in (0, min(sizes) // 2, min(sizes)):
+        left, right = drawn[: sizes[0]], np.concatenate([drawn[:shared], drawn[-1 : -1 - (sizes[1] - shared) : -1]])
+        differ = len(np.setxor1d(left, right))
+        bound = jaccard_join.least_difference(jaccard_join.parity_sketch(left), jaccard_join.parity_sketch(right))
+        assert bound <= differ and (bound > 0) == (differ > 0)
+
+
 def test_jaccard_of_nothing(empty):
     assert jaccard_join.linked_classes(empty).count() == 0
     with pytest.raises(ValueError):

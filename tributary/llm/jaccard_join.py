@@ -21,8 +21,10 @@ see the same; better ones only give fewer candidates.
 Equal sets become one node first. Of the nodes under a signature, one with
 least rare tokens is compared with all others; the links so found give
 components, and only nodes in different components are then compared with each
-other. Length and position bounds come before every comparison; comparisons
-are exact, on 64-bit hashes of shingles.
+other. Length and position bounds come before every comparison, and a bound by
+parity sketches: the bits in which two sketches differ are at most as many as
+the tokens that only one set has. Comparisons are exact, on 64-bit hashes of
+shingles.
 
 What the driver handles is of fixed size: the counters (5 MB) and bitmaps of
 signatures that more than one document has and of nodes in pairs (8 MB each).
@@ -55,8 +57,8 @@ WORD_COUNTERS = 2**18
 #: A shingle that chance alone makes more often than this counts as frequent.
 BY_CHANCE = 0.05
 _CHUNK = 2**10
-#: Parts of a set whose sizes bound what two sets share.
-SPREAD = 64
+#: Fewest bits of a parity sketch; larger sets have more, at least one for each token.
+SKETCH_BITS = 256
 _CLASS_OF = np.uint64(0x8CB92BA72F3D8DD7)
 
 
@@ -109,6 +111,20 @@ def node_names(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return flat.mixed(pair).view(np.uint8)
 
 
+def parity_sketch(grams: np.ndarray) -> np.ndarray:
+    """A bit for each residue of the tokens, set if an odd number of them has it, packed into bytes."""
+    size = max(SKETCH_BITS, 1 << len(grams).bit_length())
+    odd = np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def least_difference(left: np.ndarray, right: np.ndarray) -> int:
+    """A lower bound of the tokens that two sets do not share, by their sketches: each such token turns one bit."""
+    size = min(len(left), len(right))
+    folded = [np.bitwise_xor.reduce(sketch.reshape(-1, size), axis=0) for sketch in (left, right)]
+    return int(np.bitwise_count(folded[0] ^ folded[1]).sum())
+
+
 def _counter(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(44)).astype(np.int64)  # 20 bits: COUNTERS
 
@@ -267,7 +283,7 @@ def _live(rows: DataFrame, width: int, percent: int, counters) -> np.ndarray:
 
 
 def _nodes(rows: DataFrame, width: int, percent: int, counters, live) -> DataFrame:
-    """Nodes with a live signature: size, rare tokens, signatures and their places, and how the tokens spread over ``SPREAD`` parts."""
+    """Nodes with a live signature: size, rare tokens, signatures and their places, and a parity sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(counters.value, percent)
@@ -280,15 +296,14 @@ def _nodes(rows: DataFrame, width: int, percent: int, counters, live) -> DataFra
                     signatures, places, rare = signer.of(own, by_chance[bounds[i] : bounds[i + 1]])
                     held = bitmaps.holds(live.value, signatures)
                     if held.any():
-                        spread = np.bincount((own & np.uint64(SPREAD - 1)).astype(np.int64), minlength=SPREAD)
-                        out.append((len(own), rare, signatures[held].view(np.int64), places[held], spread))
+                        out.append((len(own), rare, signatures[held].view(np.int64), places[held], parity_sketch(own).tobytes()))
                         at.append(i)
                 if out:
-                    kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+                    kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
                     arrays = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays([bitmaps.as_binary(names[at]), *arrays], names=["node", "n", "rare", "sigs", "places", "spread"])
+                    yield pa.RecordBatch.from_arrays([bitmaps.as_binary(names[at]), *arrays], names=["node", "n", "rare", "sigs", "places", "sketch"])
 
-    schema = "node binary, n int, rare int, sigs array<bigint>, places array<int>, spread array<int>"
+    schema = "node binary, n int, rare int, sigs array<bigint>, places array<int>, sketch binary"
     return rows.mapInArrow(run, schema).dropDuplicates(["node"])
 
 
@@ -311,12 +326,20 @@ def _sets(rows: DataFrame, width: int, pairs: DataFrame) -> DataFrame:
 
 
 def _near_enough(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose tokens are spread alike: no more can be shared than the smaller number in each part."""
-    first = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("spread").alias("s_a"))
-    second = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("spread").alias("s_b"))
-    most = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
-    both = pairs.join(first, "a").join(second, "b").filter((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b")))
-    return both.select("a", "b")
+    """The pairs (a, b) whose sketches do not tell that too many tokens differ."""
+    first = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("left"))
+    second = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("right"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, left, right in zip(batch.column(2).to_numpy(), batch.column(3), batch.column(4), strict=True):
+                differ = least_difference(np.frombuffer(left.as_buffer(), np.uint8), np.frombuffer(right.as_buffer(), np.uint8))
+                keep.append((100 + percent) * differ <= (100 - percent) * int(n))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(first, "a").join(second, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "left", "right")
+    return both.mapInArrow(run, "a binary, b binary")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
@@ -370,7 +393,9 @@ def linked_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
     # Then those that are not yet in one component.
     roots = components(links)
-    placed = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = nodes.select("node", "n", "sigs", "places").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = written(placed, "shingle-nodes").select("node", "n", "root", F.explode(F.arrays_zip("sigs", "places")).alias("x"))
+    placed = placed.select("node", "n", "root", F.col("x.sigs").alias("sig"), F.col("x.places").alias("place"))
     open_ = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("sig")
     rest = written(placed.join(open_, "sig", "left_semi"), "postings")
     cross = rest.alias("x").join(rest.alias("y"), "sig").filter((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _possible(percent, "x", "y"))
