@@ -432,3 +432,40 @@ def test_similar_windows_against_sets():
                 if 100 * len(x & y) >= 80 * len(x | y):
                     expected.add(i)
         assert found == expected
+
+
+def fresh(rng, n):
+    """Words that stand nowhere else."""
+    return ["".join(rng.choice("abcdefghijklmnop") for _ in range(12)) for _ in range(n)]
+
+
+def covered_words(spark, documents):
+    """The words in spans and the class of each document, given as lists of words and told apart by their place in the list."""
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(documents)], "doc_id int, text string").coalesce(1)
+    found = substring_dedup.repeated_passages(table).collect()
+    return {r["doc_id"]: ({p for s in r["spans"] for p in range(s["start"], s["end"])}, r["class_id"]) for r in found}
+
+
+def test_passages_that_stand_in_part_earlier_in_their_document(spark):
+    rng = random.Random(11)
+    documents, at = [], []
+    for k in range(60):
+        passage = fresh(rng, 50)
+        part = passage[: 20 + k % 30] if k % 2 else passage[-20 - k % 30 :]
+        whole = [*fresh(rng, 30), *part, *fresh(rng, 60)]
+        at.append(len(whole))
+        documents += [[*whole, *passage, *fresh(rng, 30)], [*fresh(rng, 40), *passage, *fresh(rng, 25)]]
+    found = covered_words(spark, documents)
+    for k, start in enumerate(at):
+        assert found[2 * k][0] >= set(range(start, start + 50)) and found[2 * k + 1][0] >= set(range(40, 90))
+        assert found[2 * k][1] == found[2 * k + 1][1] == 2 * k
+
+
+def test_passages_in_a_document_of_one_line(spark):
+    """Places in the midst of repetition are alike, those at its ends are not."""
+    rng = random.Random(12)
+    line, after = fresh(rng, 12), fresh(rng, 40)
+    documents = [line * 40 + after + fresh(rng, 20), [*fresh(rng, 30), *line[2:], *line, *line, *after[:20]], fresh(rng, 20) + line * 7]
+    found = covered_words(spark, documents)
+    assert found[0][0] >= set(range(500)) and found[1][0] >= set(range(30, 84)) and found[2][0] >= set(range(20, 104))
+    assert {c for _, c in found.values()} == {0}
