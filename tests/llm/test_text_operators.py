@@ -469,3 +469,29 @@ def test_passages_in_a_document_of_one_line(spark):
     found = covered_words(spark, documents)
     assert found[0][0] >= set(range(500)) and found[1][0] >= set(range(30, 84)) and found[2][0] >= set(range(20, 104))
     assert {c for _, c in found.values()} == {0}
+
+
+def test_passages_past_the_span_shared_with_a_centre(spark):
+    rng = random.Random(13)
+    documents = []
+    for k in range(60):
+        before, passage = fresh(rng, 40), fresh(rng, 50 + k % 11)
+        documents += [
+            [*fresh(rng, 20), *before, *passage[:-10], *fresh(rng, 30)],
+            [*fresh(rng, 10), *before, *passage, *fresh(rng, 30)],
+            [*fresh(rng, 25), *passage, *fresh(rng, 30)],
+        ]
+    found = covered_words(spark, documents)
+    for k in range(60):
+        n = 50 + k % 11
+        assert found[3 * k + 1][0] >= set(range(10, 50 + n)) and found[3 * k + 2][0] >= set(range(25, 25 + n))
+        assert {found[3 * k + j][1] for j in range(3)} == {3 * k}
+
+
+def test_open_documents_meet_resolved_ones(spark):
+    """What is resolved by a centre is compared with what that centre leaves open."""
+    rows = [(1, 1, [5], True, 0), (1, 2, [6], True, 0), (2, 1, [7], True, 0), (2, 3, [8], True, 0), (3, 4, [9], True, 0)]
+    against = spark.createDataFrame(rows, "sig bigint, node bigint, places array<int>, open boolean, centre bigint")
+    spans = spark.createDataFrame([(1, 0, 0, 60)], "node bigint, centre bigint, start int, end int")
+    rest = substring_dedup._rest(against, substring_dedup._unresolved(against, spans, 46))
+    assert {(r["sig"], r["node"], r["open"]) for r in rest.collect()} == {(1, 1, False), (1, 2, True), (2, 1, False), (2, 3, True)}
