@@ -23,13 +23,21 @@ def first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicate documents the one with the smallest id.
+    """Of near-duplicate documents the one with the smallest id, and the smallest digest of its text among rows of that id.
 
-    Rows that share an id are one document and stay or go together; copies of a row are one row.
+    Rows that share an id, or have none, are told apart by their texts; a null id
+    comes after all others. Rows alike in both are one document, and of them the
+    one that is least in its other columns stays.
     """
-    classes = jaccard_join.linked_classes(docs)
-    gone = classes.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti").dropDuplicates()
+    digest = text_digest(text_or_empty(F.col("text")))
+    named = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), digest.alias("digest")).alias("document"), "text")
+    classes = jaccard_join.linked_classes(named, id_column="document")
+    gone = classes.filter(~F.col("document").eqNullSafe(F.col("component_id"))).select(F.col("document.id").alias("__id"), F.col("document.digest").alias("__of")).distinct()
+    stay = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (text_digest(text_or_empty(docs["text"])) == gone["__of"]), "left_anti")
+    others = [name for name in docs.columns if name not in ("doc_id", "text")]
+    if not others:
+        return stay.distinct()
+    return stay.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("__others")).select(*[F.col(f"__others.{name}") if name in others else F.col(name) for name in docs.columns])
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
