@@ -495,3 +495,15 @@ def test_open_documents_meet_resolved_ones(spark):
     spans = spark.createDataFrame([(1, 0, 0, 60)], "node bigint, centre bigint, start int, end int")
     rest = substring_dedup._rest(against, substring_dedup._unresolved(against, spans, 46))
     assert {(r["sig"], r["node"], r["open"]) for r in rest.collect()} == {(1, 1, False), (1, 2, True), (2, 1, False), (2, 3, True)}
+
+
+def test_passages_with_one_word_changed(spark):
+    """50 words with the middle one changed share 41 of 51 shingles, just enough."""
+    rng = random.Random(14)
+    documents = []
+    for _ in range(200):
+        passage = fresh(rng, 50)
+        documents += [[*fresh(rng, 30), *passage, *fresh(rng, 30)], [*fresh(rng, 40), *passage[:25], *fresh(rng, 1), *passage[26:], *fresh(rng, 20)]]
+    found = covered_words(spark, documents)
+    whole = [found[2 * k][0] >= set(range(30, 80)) and found[2 * k + 1][0] >= set(range(40, 90)) and found[2 * k + 1][1] == 2 * k for k in range(200)]
+    assert sum(whole) >= 190
