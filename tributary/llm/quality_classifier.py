@@ -42,7 +42,7 @@ _SLICE = 2**19
 
 @dataclass
 class Batch:
-    """Documents padded to whole blocks: bytes, windows that lie in a text, and each document's first block."""
+    """Documents padded to whole blocks: bytes, windows that start in a text and end in its own blocks, and each document's first block."""
 
     data: np.ndarray
     valid: np.ndarray  # (blocks, windows of a block)
@@ -58,7 +58,9 @@ def padded(data: np.ndarray, bounds: np.ndarray) -> Batch:
     out[np.arange(len(owner)) - bounds[owner] + first[owner] * BLOCK] = data
     window = np.arange(first[-1] * _WINDOWS).reshape(-1, _WINDOWS) * STRIDE
     begin = np.repeat(first[:-1] * BLOCK, blocks)[:, None]
-    valid = window - begin < np.maximum(np.repeat(lengths, blocks)[:, None], 1)
+    end = np.repeat(first[1:] * BLOCK, blocks)[:, None]
+    # The window at the very end would reach into the next document; the one before it holds its bytes too.
+    valid = (window - begin < np.maximum(np.repeat(lengths, blocks)[:, None], 1)) & (window + KERNEL <= end)
     return Batch(out, valid, first)
 
 
