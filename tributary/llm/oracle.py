@@ -138,6 +138,33 @@ best AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, l
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parsed LEFT JOIN best USING (page_id)"""
 
 
+def _clusters_sql(k: int = 40, rounds: int = 5, dimensions: int = 64) -> str:
+    """The rounds one after another, each from all distances of all vectors."""
+    number = f"range(1, {dimensions + 1})"
+    parts = [
+        f"""kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR), v) - 1 AS cluster, v AS c FROM kept ORDER BY cluster LIMIT {k})"""
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, any_value(v) AS v, min((d, cluster)) AS best FROM (
+    SELECT vec_id, v, cluster, list_sum(list_transform({number}, lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT AS d FROM kept, c{r}) GROUP BY vec_id)""")
+        if r < rounds:
+            parts.append(f"""s{r} AS (
+  SELECT cluster, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT best[2] AS cluster, unnest(v) AS x, unnest({number}) AS i FROM a{r}) GROUP BY ALL),
+m{r} AS (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{r} GROUP BY cluster),
+c{r + 1} AS MATERIALIZED (SELECT cluster, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (cluster))""")
+    return f"""
+WITH {", ".join(parts)},
+found AS (SELECT vec_id, best[2] AS cluster, best[1] AS distance FROM a{rounds})
+SELECT vec_id, cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+  (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM found JOIN c{rounds} USING (cluster)"""
+
+
 ORACLE_SQL = {
     "op2_license_scans": _license_sql(),
     "op3_line_dedup": _LINES_SQL,
@@ -145,4 +172,5 @@ ORACLE_SQL = {
     "op6_decontamination": _BENCHMARK_SQL,
     "op7_jaccard_join": _JACCARD_SQL,
     "op8_url_filters": _url_sql(),
+    "op11_centroid_clustering": _clusters_sql(),
 }

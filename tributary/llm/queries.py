@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm import (
+    byte_bpe,
+    centroid_clustering,
     decontamination,
     jaccard_join,
     license_scans,
     line_dedup,
+    periodic_runs,
     quality_classifier,
     quality_rules,
     secret_scans,
@@ -93,6 +96,41 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("spans", spans)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroid_clustering.lloyd(_table(spark, sf_dir, "embeddings"), n_clusters=40, rounds=5, dimensions=64)
+    return centroid_clustering.with_inertia(found).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The texts with one of ten, told by its id, repeating a stretch of its words up to its end; an id that is null plants nothing."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n = F.floor(h / 10), F.col("n")
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    cut = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words")).withColumn("n", F.size("words").cast("bigint"))
+    cut = cut.withColumn("a", F.when(n > 0, a)).withColumn("p", F.when(n > 0, p))  # sizes of nulls are negative
+    a, p = F.col("a").cast("int"), F.col("p").cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("words", a + 1, p), F.ceil((n - a) / p).cast("int"))), F.lit(1), (n - a).cast("int"))
+    planted = F.array_join(F.concat(F.slice("words", F.lit(1), a), tail), " ")
+    return cut.select("doc_id", F.when(n > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_planted_runs(_documents(spark, sf_dir)))
+    best = periodic_runs.strongest(F.col("runs"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    ).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip_digests(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -106,5 +144,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_filters,
         op9_quality_classifier,
         op10_substring_dedup,
+        op11_centroid_clustering,
+        op12_periodic_runs,
+        op13_byte_bpe,
     )
 }
