@@ -40,6 +40,7 @@ MARTS = ("customer_summary", "campaign_summary")
 CURATED = "curated"
 AUDIT = "audit"
 LOAD_LOG = "load_log"
+ARRIVED_FILES = "arrived_files"
 
 
 def raw_schema(domain: str) -> str:
@@ -70,3 +71,7 @@ def curated_path(root: str, table: str) -> str:
 
 def audit_path(root: str) -> str:
     return f"{root}/{AUDIT}/{LOAD_LOG}"
+
+
+def files_path(root: str) -> str:
+    return f"{root}/{AUDIT}/{ARRIVED_FILES}"

@@ -247,6 +247,16 @@ ORACLE_SQL: dict[str, str] = {
                conversion_type, revenue
         FROM ({raw_view_sql('conversions')}) AS arrived
     """,
+    "csv_scan_ranges": "SELECT * FROM documents",
+    "file_outcomes": """
+        SELECT CASE o_orderkey % 3 WHEN 0 THEN 'early' WHEN 1 THEN 'broken' ELSE 'late' END AS part,
+               CASE o_orderkey % 3 WHEN 1 THEN 'failed' ELSE 'succeeded' END AS status,
+               CASE WHEN o_orderkey % 3 <> 1 THEN count(*) END AS records_logged, o_orderkey % 3 = 1 AS tells_why,
+               CASE WHEN o_orderkey % 3 <> 1 THEN count(*) END AS records_in_ledger,
+               CASE o_orderkey % 3 WHEN 1 THEN 'quarantine' ELSE 'processed' END AS folder,
+               CASE WHEN o_orderkey % 3 <> 1 THEN count(*) END AS records_loaded
+        FROM orders GROUP BY o_orderkey % 3
+    """,
     "file_arrival_log": _counted({feed: raw_view_sql(feed) for feed in _FEEDS}),
     "table_loads": _counted({table: f"SELECT * FROM {table}" for table in _STAR_TABLES}),
     "load_failures": """

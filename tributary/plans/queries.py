@@ -25,9 +25,10 @@ from tributary.operators.quality import key_violations, not_negative, present
 from tributary.plans.driver_tables import RAW_VIEWS, TIE_BREAKS, driver_table, raw_view
 from tributary.plans.ingest import LoadError, TableLoad, ingest_tables
 from tributary.plans.refresh import read_curated, read_transformed, refresh
-from tributary.sinks.audit import read_log
+from tributary.sinks.audit import read_files_ledger, read_log
 from tributary.sinks.layers import append_load, replace_snapshot
 from tributary.sources.delimited import read_delimited
+from tributary.sources.quoted import read_quoted
 from tributary.sources.tables import read_appended, read_raw, read_snapshot
 from tributary.storage import Folder, work_folder
 from tributary.streaming.arrivals import ingest_arrivals
@@ -286,13 +287,23 @@ def delimited_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_delimited(spark, path, documents.schema)
 
 
-def _drop_files(spark: SparkSession, df: DataFrame, inbox: str, feed: str) -> None:
-    """Let ``df`` arrive in ``inbox`` as files named ``<feed>.<number>.csv``."""
-    written = f"{inbox}-{feed}"
+def quoted_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with line ends in their cells, each file read by byte ranges."""
+    documents = driver_table(spark, sf_dir, "documents")
+    path = work_folder(spark, "documents")
+    _write_delimited(documents.withColumn("text", F.concat(F.lit('"'), F.col("text"), F.lit("\n"))), path)
+    files = [f"{path}/{name}" for name in Folder(spark, path).names() if name.endswith(".csv")]
+    read = read_quoted(spark, files, documents.schema)
+    return read.withColumn("text", F.expr("substring(text, 2, length(text) - 2)"))
+
+
+def _drop_files(spark: SparkSession, df: DataFrame, inbox: str, feed: str, label: str = "") -> None:
+    """Let ``df`` arrive in ``inbox`` as files named ``<feed>.<label><number>.csv``."""
+    written = f"{inbox}-{feed}{label}"
     _write_delimited(df, written)
     parts = [name for name in Folder(spark, written).names() if name.endswith(".csv")]
     for number, part in enumerate(parts):
-        Folder(spark, f"{written}/{part}").move_to(f"{inbox}/{feed.title()}.{number}.csv")
+        Folder(spark, f"{written}/{part}").move_to(f"{inbox}/{feed.title()}.{label}{number}.csv")
 
 
 def _arrivals(spark: SparkSession, sf_dir: str) -> str:
@@ -316,7 +327,39 @@ def file_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_arrival_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _loads(read_log(spark, _arrivals(spark, sf_dir)))
+    """The log has an entry per file, and how many files there are is the writer's choice: entries summed by feed."""
+    entries = _loads(read_log(spark, _arrivals(spark, sf_dir)))
+    return entries.groupBy("table_name", "updated_unknown", "status").agg(F.sum("records_inserted").alias("records_inserted"))
+
+
+def file_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good, bad and good files of one feed: what the log and the ledger say of them, and the folders they are in."""
+    work = work_folder(spark, "outcomes")
+    inbox, root = f"{work}/inbox", f"{work}/warehouse"
+    Folder(spark, inbox).make()
+    feed = raw_view(spark, sf_dir, "conversions").select(*schemas.columns(schemas.SOURCE["conversions"]))
+    third = F.pmod("campaign_id", F.lit(3))
+    for number, part in enumerate(("early", "broken", "late")):
+        rows = feed.filter(third == number)
+        if part == "broken":
+            rows = rows.withColumn("revenue", F.concat(F.col("revenue").cast("string"), F.lit(" or so")))
+        _drop_files(spark, rows, inbox, "conversions", part)
+    for _ in range(2):  # the second run finds nothing to do
+        ingest_arrivals(
+            spark, inbox, root, f"{work}/checkpoint", archive=f"{work}/processed", quarantine=f"{work}/quarantine", on_failure="log"
+        ).awaitTermination()
+    part_of = lambda path: F.regexp_extract(path, r"Conversions\.([a-z]+)\d+\.csv$", 1)
+    logged_files = read_log(spark, root).groupBy(part_of("RUN_ID").alias("part"), F.col("STATUS").alias("status")).agg(
+        F.sum("RECORDS_INSERTED").alias("records_logged"), F.count("ERROR").cast("boolean").alias("tells_why")
+    )
+    ledger = read_files_ledger(spark, root).groupBy(part_of("PATH").alias("part")).agg(F.sum("RECORDS_INSERTED").alias("records_in_ledger"))
+    stored = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{work}/processed", f"{work}/quarantine"])
+    folder = F.regexp_extract("path", r"/(processed|quarantine)/", 1)
+    stored = stored.groupBy(part_of("path").alias("part")).agg(F.array_join(F.array_sort(F.collect_set(folder)), ",").alias("folder"))
+    loaded = read_appended(spark, names.raw_path(root, "conversions"))
+    part = F.element_at(F.array(F.lit("early"), F.lit("broken"), F.lit("late")), F.pmod("campaign_id", F.lit(3)).cast("int") + 1)
+    loaded = loaded.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("records_loaded"))
+    return logged_files.join(ledger, "part").join(stored, "part").join(loaded, "part", "left")
 
 
 def _loads(log: DataFrame) -> DataFrame:
@@ -440,7 +483,9 @@ QUERIES: dict[str, Query] = {
     "cdc_replica_clean": replicated_transactions,
     "stream_ingest_latest": stream_latest,
     "csv_scan": delimited_scan,
+    "csv_scan_ranges": quoted_scan,
     "file_arrivals": file_arrivals,
+    "file_outcomes": file_outcomes,
     "file_arrival_log": file_arrival_log,
     "table_loads": table_loads,
     "load_failures": load_failures,

@@ -88,6 +88,12 @@ AUDIT = (
     "RECORDS_DELETED BIGINT, INGESTION_TIME TIMESTAMP, RUN_ID STRING, STATUS STRING, ERROR STRING"
 )
 
+# What became of each arrived file.
+FILES = (
+    "PATH STRING, TABLE_NAME STRING, STATUS STRING, RECORDS_INSERTED BIGINT, ERROR STRING, MOVED_TO STRING, "
+    "LOGGED_AT TIMESTAMP"
+)
+
 
 def struct(ddl: str) -> StructType:
     return StructType.fromDDL(ddl)

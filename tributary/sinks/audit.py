@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 
@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from tributary import names, schemas
 from tributary.operators.latest import latest_by_key
+from tributary.storage import Folder
 
 SUCCEEDED = "succeeded"
 FAILED = "failed"
 
 LOG_DATE = "log_date"
+LOG_BATCH = "log_batch"
+_LOG_KEYS = f"{LOG_DATE} DATE, {LOG_BATCH} STRING"
 
 
 def now() -> datetime:
@@ -51,26 +54,69 @@ class LoadRecord:
         )
 
 
+@dataclass(frozen=True)
+class FileRecord:
+    """What became of one arrived file."""
+
+    path: str
+    table: str
+    rows: int | None = None
+    error: str | None = None
+    moved_to: str | None = None
+
+    @property
+    def status(self) -> str:
+        return SUCCEEDED if self.error is None else FAILED
+
+
 def write_log(spark: SparkSession, root: str, record: LoadRecord) -> None:
-    """Append one entry.
+    """Append one entry; logging its run id again replaces it."""
+    write_logs(spark, root, record.run_id, [record])
+
 
-    It is a partition of its own: jobs that log at the same time do not meet in
-    one output folder, and logging a run id again replaces its entry.
+def write_logs(spark: SparkSession, root: str, batch: str, records: Sequence[LoadRecord]) -> None:
+    """Append the entries of one batch in one job.
+
+    They are a partition of their own: jobs that log at the same time do not
+    meet in one output folder, and logging a batch again replaces its entries.
     """
     logged_at = now()
-    cells = zip(schemas.struct(schemas.AUDIT), record.values(logged_at), strict=True)
-    entry = spark.range(1, numPartitions=1).select(
-        *[F.lit(value).cast(column.dataType).alias(column.name) for column, value in cells],
-        F.lit(logged_at.date()).alias(LOG_DATE),
-    )
+    rows = [(*record.values(logged_at), logged_at.date(), batch) for record in records]
+    entries = spark.createDataFrame(rows, f"{schemas.AUDIT}, {_LOG_KEYS}")
+    _append_log(entries, names.audit_path(root))
+
+
+def _append_log(entries: DataFrame, path: str) -> None:
     (
-        entry.write.partitionBy(LOG_DATE, "RUN_ID")
+        entries.coalesce(1)  # at most as many as a batch has loads
+        .write.partitionBy(LOG_DATE, LOG_BATCH)
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .parquet(names.audit_path(root))
+        .parquet(path)
     )
 
 
+def write_files(spark: SparkSession, root: str, batch: str, files: Sequence[FileRecord]) -> None:
+    """Enter the outcome of a batch's files, all at once; entering the batch again replaces it."""
+    logged_at = now()
+    rows = [(f.path, f.table, f.status, f.rows, f.error, f.moved_to, logged_at, logged_at.date(), batch) for f in files]
+    _append_log(spark.createDataFrame(rows, f"{schemas.FILES}, {_LOG_KEYS}"), names.files_path(root))
+
+
+def read_files_ledger(spark: SparkSession, root: str, batch: str | None = None) -> DataFrame:
+    """The outcome of every arrived file, or of one batch's; of a batch entered twice the last."""
+    if not Folder(spark, names.files_path(root)).exists():
+        return spark.createDataFrame([], schemas.struct(schemas.FILES))
+    entries = spark.read.schema(f"{schemas.FILES}, {_LOG_KEYS}").parquet(names.files_path(root))
+    chosen = entries if batch is None else entries.filter(F.col(LOG_BATCH) == batch)
+    return latest_by_key(chosen, ["PATH", LOG_BATCH], ["LOGGED_AT"]).select(*schemas.columns(schemas.FILES))
+
+
+def rejected_files(spark: SparkSession, root: str) -> DataFrame:
+    """The arrived files that could not be loaded, and why."""
+    return read_files_ledger(spark, root).filter(F.col("STATUS") == FAILED)
+
+
 def logged(
     spark: SparkSession,
     root: str,
@@ -96,6 +142,6 @@ def logged(
 
 def read_log(spark: SparkSession, root: str) -> DataFrame:
     """The log with one entry per load; a load that was retried under its run id shows its last outcome."""
-    entries = spark.read.schema(f"{schemas.AUDIT}, {LOG_DATE} DATE").parquet(names.audit_path(root))
+    entries = spark.read.schema(f"{schemas.AUDIT}, {_LOG_KEYS}").parquet(names.audit_path(root))
     latest = latest_by_key(entries, ["RUN_ID"], ["INGESTION_TIME"])
     return latest.select(*schemas.columns(schemas.AUDIT))

@@ -6,11 +6,11 @@ import csv
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tributary.storage import first_line
+from tributary.storage import first_line, path_of_url
 
 ENCODING = "ISO-8859-1"
 
@@ -23,7 +23,7 @@ MISSING = (
 
 # One line that is a whole record: cells without quotes, or quoted cells with
 # their quotes doubled.
-_CELL = r'(?:[^",\r]*+|"(?:[^"\r]++|"")*+")'
+_CELL = r'(?:"(?:[^"\r]++|"")*+"|[^",\r]*+)'
 _WHOLE_RECORD = rf"^{_CELL}(?:,{_CELL})*+\r?$"
 
 
@@ -35,12 +35,13 @@ def _present(name: str) -> Column:
     return F.when(~cell.isin(*MISSING), cell)
 
 
-def _strings(columns: Sequence[str]) -> StructType:
-    return StructType([StructField(name, StringType()) for name in columns])
+def strings_and_record(columns: Sequence[str]) -> StructType:
+    """The columns as strings, then the record as it is, which is null where its cells are as many as the columns."""
+    return StructType([StructField(name, StringType()) for name in [*columns, _AS_IS]])
 
 
-def _not_too_long(columns: Sequence[str]) -> Column:
-    """True, or an error for a record with more cells than there are columns.
+def _too_long(columns: Sequence[str]) -> Column:
+    """What is wrong with a record that has more cells than there are columns, else null.
 
     The reader hands over as they are the records whose number of cells is not
     that of the columns; only those are looked at again.
@@ -48,8 +49,26 @@ def _not_too_long(columns: Sequence[str]) -> Column:
     record = F.col(_AS_IS)
     wider = ", ".join(f"c{i} STRING" for i in range(len(columns))) + f", {_BEYOND} STRING"
     beyond = F.from_csv(record, F.lit(wider), {"escape": '"'})[_BEYOND]
-    problem = F.concat(F.lit(f"more than {len(columns)} cells: "), record)
-    return F.when(record.isNotNull() & beyond.isNotNull(), F.raise_error(problem).cast("boolean")).otherwise(True)
+    return F.when(record.isNotNull() & beyond.isNotNull(), F.concat(F.lit(f"more than {len(columns)} cells: "), record))
+
+
+def _not_too_long(columns: Sequence[str]) -> Column:
+    """True, or an error."""
+    problem = _too_long(columns)
+    return F.when(problem.isNotNull(), F.raise_error(problem).cast("boolean")).otherwise(True)
+
+
+def problem(columns: Sequence[str], schema: StructType | None) -> Column:
+    """What would make a record an error: too many cells, or one that does not fit its type; else null."""
+    misfits = [
+        F.when(
+            _present(field.name).isNotNull() & F.col(f"`{field.name}`").try_cast(field.dataType).isNull(),
+            F.concat(F.lit(f"{field.name} is no {field.dataType.simpleString()}: "), F.col(f"`{field.name}`")),
+        )
+        for field in schema or ()
+        if not isinstance(field.dataType, StringType)
+    ]
+    return F.coalesce(_too_long(columns), *misfits)
 
 
 def _blank(columns: Sequence[str]) -> Column:
@@ -58,6 +77,40 @@ def _blank(columns: Sequence[str]) -> Column:
     return F.coalesce(line.rlike(r"^\s*$"), F.lit(False))
 
 
+def records_of(records: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Without the lines that are no records."""
+    return records.filter(~_blank(columns))
+
+
+def typed(records: DataFrame, schema: StructType) -> DataFrame:
+    """The records' cells in their types; what does not fit is an error."""
+    columns = schema.names
+    rows = records_of(records, columns).filter(_not_too_long(columns)).select(*[_present(name).alias(name) for name in columns])
+    return rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
+
+
+def _reader(spark: SparkSession, encoding: str, multi_line: bool) -> DataFrameReader:
+    return (
+        spark.read.option("header", True)
+        .option("encoding", encoding)
+        .option("multiLine", multi_line)
+        .option("escape", '"')
+        .option("enforceSchema", False)
+        # All cells are counted, whichever are wanted.
+        .option("columnPruning", False)
+        # Empty cells are told from missing ones by the list above, not by the parser.
+        .option("nullValue", "")
+        .option("emptyValue", "")
+        .option("columnNameOfCorruptRecord", _AS_IS)
+    )
+
+
+def parsed_files(spark: SparkSession, paths: Sequence[str], columns: Sequence[str], encoding: str = ENCODING, multi_line: bool = True) -> DataFrame:
+    """The files' cells as strings, each record itself if its cells are not as many as the columns, and ``__file``."""
+    records = _reader(spark, encoding, multi_line).schema(strings_and_record(columns)).csv(list(paths))
+    return records.select("*", F.col("_metadata.file_path").alias("__file"))
+
+
 def read_delimited(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -75,26 +128,13 @@ def read_delimited(
 
     Quoted cells may hold line ends, so a file is read by one task.  A file that
     has none there, see :func:`files_with_cut_records`, can be split among many with
-    ``multi_line=False``.
+    ``multi_line=False``; one that has, with :func:`tributary.sources.quoted.read_quoted`.
     """
     chosen = paths if isinstance(paths, str) else list(paths)
-    reader = (
-        spark.read.option("header", True)
-        .option("encoding", encoding)
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-        .option("enforceSchema", False)
-        # Empty cells are told from missing ones by the list above, not by the parser.
-        .option("nullValue", "")
-        .option("emptyValue", "")
-        .option("columnNameOfCorruptRecord", _AS_IS)
-    )
+    reader = _reader(spark, encoding, multi_line)
     columns = reader.csv(chosen).columns if schema is None else schema.names
-    records = reader.schema(_strings([*columns, _AS_IS])).csv(chosen).filter(~_blank(columns) & _not_too_long(columns))
-    present = records.select(*[_present(name).alias(name) for name in columns])
-    if schema is None:
-        return present
-    return present.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
+    records = reader.schema(strings_and_record(columns)).csv(chosen)
+    return typed(records, schema or StructType([StructField(name, StringType()) for name in columns]))
 
 
 def file_headers(spark: SparkSession, paths: Sequence[str], encoding: str = ENCODING) -> list[tuple[str, ...]]:
@@ -111,12 +151,11 @@ def file_headers(spark: SparkSession, paths: Sequence[str], encoding: str = ENCO
 
 
 def files_with_cut_records(spark: SparkSession, paths: Sequence[str]) -> set[str]:
-    """The files in which some line is not a whole record, as paths; one parallel job for all.
+    """The files in which some line is not a whole record, as qualified paths; one parallel job for all.
 
     In every other file each line starts a record and ends it, so reading line
     by line, in parallel, gives what reading from the start gives.
     """
     lines = spark.read.option("lineSep", "\n").text(list(paths)).select("value", "_metadata.file_path")
     cut = lines.filter(~F.col("value").rlike(_WHOLE_RECORD)).select("file_path").distinct()
-    jvm = spark._jvm  # file_path is a URL; the paths given are not
-    return {jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(row["file_path"])).toString() for row in cut.collect()}
+    return {path_of_url(spark, row["file_path"]) for row in cut.collect()}

@@ -64,6 +64,22 @@ class Folder:
         return [name[len(prefix):] for name in self.names() if name.startswith(prefix)]
 
 
+def literal_path(path: str) -> str:
+    """The path as a literal for Spark's readers, which take glob patterns."""
+    return "".join(f"\\{c}" if c in "*?[]{}\\" else c for c in path)
+
+
+def qualified_path(spark: SparkSession, path: str) -> str:
+    """The path with its file system's scheme, as readers name files."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return file.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(file).toString()
+
+
+def path_of_url(spark: SparkSession, url: str) -> str:
+    """The path that a reader's ``_metadata.file_path``, which is a URL, stands for."""
+    return spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(url)).toString()
+
+
 def first_line(spark: SparkSession, path: str, encoding: str) -> str | None:
     """The first line of a text file; None if it is empty."""
     file = spark._jvm.org.apache.hadoop.fs.Path(path)
