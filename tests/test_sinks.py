@@ -105,6 +105,92 @@ def test_raw_tables_appear_with_their_first_load_and_follow_its_columns(spark, f
     drop_layers(spark)
 
 
+@pytest.fixture
+def shop(spark, folder):
+    spark.sql(f"CREATE DATABASE shop LOCATION '{folder}/shop'")
+    yield "shop"
+    spark.sql("DROP DATABASE shop CASCADE")
+
+
+def by_name_and_path(spark, path):
+    spark.catalog.clearCache()
+    return rows_of(spark.table("shop.t").drop("ingestion_date", "load_id")), rows_of(read_raw(spark, path, merge_schema=True))
+
+
+def test_a_table_follows_its_data_to_another_root(spark, folder, shop):
+    old, new = f"{folder}/old/t", f"{folder}/new/t"
+    for path, n in ((old, 3), (new, 5), (old, 4)):
+        replace_snapshot(numbers(spark, n), path, DAY)
+        publish(spark, shop, "t", path, ("ingestion_date", DAY.date()))
+        name, place = by_name_and_path(spark, path)
+        assert name == place and len(name) == n
+
+
+def test_a_table_takes_new_columns_and_keeps_old_ones(spark, folder, shop):
+    path = f"{folder}/t"
+    loads = [spark.range(2), numbers(spark, 3), spark.range(1).withColumnRenamed("id", "Odd `name`, (1)"), numbers(spark, 1).withColumnRenamed("v", "w")]
+    for k, rows in enumerate(loads):
+        append_load(rows, path, f"a:{k}'s")
+        publish(spark, shop, "t", path, ("load_id", f"a:{k}'s"))
+    table = spark.table("shop.t")
+    assert table.columns == ["id", "v", "Odd `name`, (1)", "w", "load_id"]
+    assert rows_of(table.groupBy("load_id").count()) == [("a:0's", 2), ("a:1's", 3), ("a:2's", 1), ("a:3's", 1)]
+    assert rows_of(table, "id", "v", "w") == rows_of(read_raw(spark, path, merge_schema=True), "id", "v", "w")
+
+
+def test_removed_and_replaced_partitions_are_seen_by_name(spark, folder, shop):
+    path = f"{folder}/t"
+    for days, n in ((0, 3), (1, 4), (1, 6), (2, 0), (3, 2)):
+        run = DAY + timedelta(days=days)
+        replace_snapshot(numbers(spark, 9).filter(F.col("id") < n), path, run)
+        publish(spark, shop, "t", path, ("ingestion_date", run.date()))
+        name, place = by_name_and_path(spark, path)
+        assert name == place and len(name) == n
+        assert spark.sql("SHOW PARTITIONS shop.t").count() == 1
+    Folder(spark, f"{path}/ingestion_date={run.date()}").remove()
+    replace_snapshot(numbers(spark, 2), path, DAY, keep_history=True)
+    publish(spark, shop, "t", path)  # by comparing names
+    assert rows_of(spark.table("shop.t"), "ingestion_date") == [(DAY.date(),)] * 2
+
+
+def test_a_column_of_another_type_makes_the_table_anew(spark, folder, shop):
+    path = f"{folder}/t"
+    for rows in (spark.range(3), spark.range(3).selectExpr("cast(id as string) id")):
+        replace_snapshot(rows, path, DAY)
+        publish(spark, shop, "t", path, ("ingestion_date", DAY.date()))
+    assert rows_of(spark.table("shop.t"), "id") == [("0",), ("1",), ("2",)]
+
+
+def test_publishing_neither_repairs_nor_remakes(spark, folder, shop, monkeypatch):
+    path, said = f"{folder}/t", []
+    append_load(spark.range(2), path, "l-0")
+    publish(spark, shop, "t", path, ("load_id", "l-0"))
+    append_load(numbers(spark, 2), path, "l-1")
+    sql = type(spark).sql
+    monkeypatch.setattr(type(spark), "sql", lambda self, text, *a, **b: said.append(text) or sql(self, text, *a, **b))
+    publish(spark, shop, "t", path, ("load_id", "l-1"))
+    assert [text.split("(")[0].strip() for text in said if text.startswith(("ALTER", "DROP", "MSCK", "CREATE"))] == [
+        "ALTER TABLE shop.`t` ADD COLUMNS", "ALTER TABLE shop.`t` ADD IF NOT EXISTS PARTITION",
+    ]
+
+
+def test_setting_up_another_root_moves_all_tables(spark, folder):
+    for root in (f"{folder}/one", f"{folder}/two", f"{folder}/one"):
+        set_up_layers(spark, root)
+        curated = names.curated_path(root, "campaign_summary")
+        assert spark.table("curated.campaign_summary").count() == (1 if Folder(spark, curated).exists() else 0)
+        replace_snapshot(spark.createDataFrame([(1, root, "b", None, None)], schemas.CURATED["campaign_summary"]), curated, DAY)
+        publish(spark, "curated", "campaign_summary", curated)
+        assert rows_of(spark.table("curated.campaign_summary"), "campaign_name") == [(root,)]
+        raw = names.raw_path(root, "ads")
+        append_load(spark.range(3), raw, f"s-{root[-3:]}")
+        publish(spark, "raw_marketing", "ads", raw, ("load_id", f"s-{root[-3:]}"))
+        assert spark.table("raw_marketing.ads").count() == 3
+    set_up_layers(spark, f"{folder}/three")
+    assert spark.table("raw_marketing.ads").count() == 0
+    drop_layers(spark)
+
+
 def test_without_the_layers_nothing_is_published(spark, folder):
     append_load(spark.range(3), f"{folder}/t", "s-0")
     publish(spark, "raw_marketing", "ads", f"{folder}/t")

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tributary import names
 from tributary.functions.stamps import stamp_instant
 from tributary.sinks.audit import logged
-from tributary.sinks.layers import publish, replace_snapshot
+from tributary.sinks.layers import publish, replace_snapshot, snapshot_date
 from tributary.sources.jdbc import JdbcSource, read_table
+from tributary.sources.tables import INGESTION_DATE
 
 
 @dataclass(frozen=True)
@@ -84,7 +85,7 @@ def ingest_tables(
             rows = spec.read(spark)
             stamped = stamp_instant(rows, started) if stamp is None else stamp(rows)
             inserted = replace_snapshot(stamped, spec.path(root), started, keep_history)
-            publish(spark, spec.dataset, spec.table, spec.path(root))
+            publish(spark, spec.dataset, spec.table, spec.path(root), (INGESTION_DATE, snapshot_date(started)))
             return inserted
 
         return logged(spark, root, spec.source, spec.dataset, spec.table, service, snapshot)

@@ -273,6 +273,10 @@ ORACLE_SQL: dict[str, str] = {
         SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders
     """,
     "append_loads": "SELECT orders.*, 2 * count(*) AS copies FROM orders GROUP BY ALL",
+    "catalog_follows": """
+        SELECT o_orderkey, o_custkey, o_orderpriority, DATE '2026-01-03' AS ingestion_date, CAST(1 AS BIGINT) AS partitions
+        FROM orders
+    """,
     "refresh_transactions": CLEANERS["transactions"],
     "refresh_customer_summary": _customer_summary(
         CLEANERS["customers"], CLEANERS["transactions"], CLEANERS["user_sessions"]

@@ -26,10 +26,10 @@ from tributary.plans.driver_tables import RAW_VIEWS, TIE_BREAKS, driver_table, r
 from tributary.plans.ingest import LoadError, TableLoad, ingest_tables
 from tributary.plans.refresh import read_curated, read_transformed, refresh
 from tributary.sinks.audit import read_files_ledger, read_log
-from tributary.sinks.layers import append_load, replace_snapshot
+from tributary.sinks.layers import append_load, publish, replace_snapshot, snapshot_date
 from tributary.sources.delimited import read_delimited
 from tributary.sources.quoted import read_quoted
-from tributary.sources.tables import read_appended, read_raw, read_snapshot
+from tributary.sources.tables import INGESTION_DATE, read_appended, read_raw, read_snapshot
 from tributary.storage import Folder, work_folder
 from tributary.streaming.arrivals import ingest_arrivals
 from tributary.streaming.current import CurrentTable, keep_current, replica
@@ -430,6 +430,32 @@ def append_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return appended.groupBy(*orders.columns).agg(F.count(F.lit(1)).alias("copies"))
 
 
+def catalog_follows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table by its name, after loads under another root, a new column and a replaced partition."""
+    orders = driver_table(spark, sf_dir, "orders")
+    work = work_folder(spark, "catalog")
+    schema = f"follows_{work[-12:]}"
+    spark.sql(f"CREATE DATABASE {schema} LOCATION '{work}/{schema}'")
+    first, second = f"{work}/first/orders", f"{work}/second/orders"
+    day = datetime(2026, 1, 2, 6, tzinfo=timezone.utc)
+    few = orders.select("o_orderkey", "o_custkey")
+    try:
+        for rows, path, run_time in (
+            (few.withColumn("o_custkey", -F.col("o_custkey")), first, day),
+            (few.filter("o_custkey % 2 = 0"), second, day),
+            (orders.select("o_orderkey", "o_custkey", "o_orderpriority"), second, day + timedelta(days=1)),
+        ):
+            replace_snapshot(rows, path, run_time)
+            publish(spark, schema, "orders", path, (INGESTION_DATE, snapshot_date(run_time)))
+        by_name = spark.table(f"{schema}.orders")
+        result = f"{work}/result"
+        partitions = spark.sql(f"SHOW PARTITIONS {schema}.orders").count()
+        by_name.withColumn("partitions", F.lit(partitions).cast("bigint")).write.parquet(result)
+        return spark.read.parquet(result)
+    finally:
+        spark.sql(f"DROP DATABASE {schema} CASCADE")
+
+
 # --- both layers, from raw tables ------------------------------------------------------------
 
 _REFRESHED = names.ENTITIES
@@ -492,6 +518,7 @@ QUERIES: dict[str, Query] = {
     "ingestion_clock": ingestion_clock,
     "snapshot_replace": snapshot_replace,
     "append_loads": append_loads,
+    "catalog_follows": catalog_follows,
     "refresh_transactions": refreshed_transactions,
     "refresh_customer_summary": refreshed_mart("customer_summary"),
     "refresh_campaign_summary": refreshed_mart("campaign_summary"),

@@ -12,8 +12,8 @@ from tributary.operators import marts
 from tributary.operators.clean import SPECS, clean
 from tributary.plans.ingest import run_all
 from tributary.sinks.audit import logged, now
-from tributary.sinks.layers import publish, replace_snapshot
-from tributary.sources.tables import is_current, read_raw, read_snapshot
+from tributary.sinks.layers import publish, replace_snapshot, snapshot_date
+from tributary.sources.tables import INGESTION_DATE, is_current, read_raw, read_snapshot
 from tributary.storage import Folder
 
 
@@ -58,7 +58,7 @@ def refresh(
     def replace(build: Callable[[], DataFrame], source: str, schema: str, table: str, path: str) -> int:
         def snapshot(_started: datetime) -> int:
             rows = replace_snapshot(build(), path, run_time, keep_history)
-            publish(spark, schema, table, path)
+            publish(spark, schema, table, path, (INGESTION_DATE, snapshot_date(run_time)))
             return rows
 
         return logged(spark, root, source, schema, table, SERVICE, snapshot)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,7 @@ class Folder:
     """One folder: what is in it, and removing it."""
 
     def __init__(self, spark: SparkSession, path: str):
+        self._spark, self.path = spark, path
         self._new_path = spark._jvm.org.apache.hadoop.fs.Path
         self._path = self._new_path(path)
         self._fs = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -61,7 +63,14 @@ class Folder:
     def partition_values(self, column: str) -> list[str]:
         """Values of the top partition column, from folder names alone: no file is opened."""
         prefix = f"{column}="
-        return [name[len(prefix):] for name in self.names() if name.startswith(prefix)]
+        return [unquote(name[len(prefix):]) for name in self.names() if name.startswith(prefix)]
+
+    def partition(self, column: str, value: object) -> Folder | None:
+        """The folder of one partition; its name spells some characters in another way."""
+        for name in self.names():
+            if name.startswith(f"{column}=") and unquote(name[len(column) + 1:]) == str(value):
+                return Folder(self._spark, f"{self.path}/{name}")
+        return None
 
 
 def literal_path(path: str) -> str:

@@ -159,9 +159,11 @@ def load_files(
         inserted = append_load(rename_present(stamp_instant(_read(spark, table, good), run_start)), path, load_id)
         if inserted != sum(counts.values()):
             raise RuntimeError(f"{table}: {sum(counts.values())} records were counted and {inserted} loaded; files changed meanwhile")
-    else:  # an earlier attempt may have loaded some
-        Folder(spark, f"{path}/{LOAD_ID}={load_id}").remove()
-    if Folder(spark, path).exists():
+    elif earlier := Folder(spark, path).partition(LOAD_ID, load_id):  # of an attempt that found good ones
+        earlier.remove()
+    if good:
+        publish(spark, RAW_SCHEMA, table, path, (LOAD_ID, load_id))
+    elif Folder(spark, path).exists():
         publish(spark, RAW_SCHEMA, table, path)
     return [FileRecord(file, table, counts.get(file), wrong.get(file)) for file in files]
 
