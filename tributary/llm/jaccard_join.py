@@ -21,7 +21,7 @@ see the same; better ones only give fewer candidates.
 Equal sets become one node first. Of the nodes under a signature, one with
 least rare tokens is compared with all others; the links so found give
 components, and only nodes in different components are then compared with each
-other, a pair under the first signature that both have. Length and position bounds come before every comparison, and a bound by
+other, a pair once if it shares one of the first signatures of both. Length and position bounds come before every comparison, and a bound by
 parity sketches: the bits in which two sketches differ are at most as many as
 the tokens that only one set has. Comparisons are exact, on 64-bit hashes of
 shingles.
@@ -59,6 +59,8 @@ BY_CHANCE = 0.05
 _CHUNK = 2**10
 #: Fewest bits of a parity sketch; larger sets have more, at least one for each token.
 SKETCH_BITS = 256
+#: Signatures that each posting carries, so that a pair which shares some of them comes out once.
+FIRSTS = 8
 _CLASS_OF = np.uint64(0x8CB92BA72F3D8DD7)
 
 
@@ -368,12 +370,12 @@ def _possible(percent: int, x: str, y: str):
     return (100 * F.least(n_x, n_y) >= percent * F.greatest(n_x, n_y)) & ((100 + percent) * most >= percent * (n_x + n_y))
 
 
-def _with_all(postings: DataFrame) -> DataFrame:
-    """Postings, each with all signatures of its node in the order of their places, which is the same for all nodes."""
+def _with_firsts(postings: DataFrame) -> DataFrame:
+    """Postings, each with the first signatures of its node by place, an order that is the same for all nodes."""
     places = F.sort_array(F.collect_list(F.struct("place", "sig")))
     whole = postings.groupBy("node", "n", "root").agg(places.alias("places"))
-    whole = whole.withColumn("all", F.transform("places", lambda p: p["sig"]))
-    return whole.select("node", "n", "root", "all", F.explode("places").alias("p")).select("node", "n", "root", "all", "p.sig", "p.place")
+    whole = whole.withColumn("firsts", F.transform(F.slice("places", 1, FIRSTS), lambda p: p["sig"]))
+    return whole.select("node", "n", "root", "firsts", F.explode("places").alias("p")).select("node", "n", "root", "firsts", "p.sig", "p.place")
 
 
 def linked_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -410,12 +412,12 @@ def _linked_classes(docs: DataFrame, width: int, percent: int, id_column: str, t
     placed = written(placed, "shingle-nodes").select("node", "n", "root", F.explode(F.arrays_zip("sigs", "places")).alias("x"))
     placed = placed.select("node", "n", "root", F.col("x.sigs").alias("sig"), F.col("x.places").alias("place"))
     open_ = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("sig")
-    rest = _with_all(placed.join(open_, "sig", "left_semi"))
+    rest = _with_firsts(placed.join(open_, "sig", "left_semi"))
     rest = written(rest, "postings")
-    # A pair comes out under the first signature that both have, which is the first by place too.
-    first = F.element_at(F.array_intersect("x.all", "y.all"), 1) == F.col("x.sig")
+    # A pair comes out under the first signature that both have, if that is among the first of both; else under each.
+    first = F.coalesce(F.get(F.array_intersect("x.firsts", "y.firsts"), F.lit(0)) == F.col("x.sig"), F.lit(True))
     cross = rest.alias("x").join(rest.alias("y"), "sig").filter((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _possible(percent, "x", "y") & first)
-    cross = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    cross = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     new = written(_near_enough(cross, nodes, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
     if not new.isEmpty():
         roots = components(links.union(written(_verified(new, rows, width, percent), "links")))
