@@ -77,7 +77,7 @@ BANDS = {
 
 # First bytes of UTF-8 sequences by script.
 _SCRIPTS = ("none", "latin", "greek", "cyrillic", "hebrew", "arabic", "han", "hangul", "other")
-_SCRIPT_OF = np.zeros(256, np.int64)
+_SCRIPT_OF = np.zeros(256, np.uint8)
 for _name, _first, _last in (
     ("latin", 0x41, 0x5A), ("latin", 0x61, 0x7A), ("latin", 0xC3, 0xCB), ("greek", 0xCD, 0xCF), ("cyrillic", 0xD0, 0xD4),
     ("hebrew", 0xD6, 0xD7), ("arabic", 0xD8, 0xDD), ("other", 0xDE, 0xE2), ("han", 0xE3, 0xE9), ("hangul", 0xEA, 0xED),
@@ -93,6 +93,8 @@ _COMMON = {
     "french": "le les et du dans pour est qui sur pas au par il ce avec sont cette mais ou ses",
 }
 _LANGUAGES = tuple(_COMMON)
+#: Of a document's words that have to be common ones of a language to be judged as a text in it.
+LEAST_SHARE = 0.01
 #: What a document is judged as: its script, or of the Latin script its language.
 _KINDS = (*_SCRIPTS, *_LANGUAGES)
 
@@ -162,8 +164,11 @@ def _common_words() -> tuple[np.ndarray, np.ndarray]:
 
 def _per_document(bounds: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Sums of values over each document's range."""
-    sums = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
-    return sums[bounds[1:]] - sums[bounds[:-1]]
+    sums = np.zeros(len(bounds) - 1, np.int64)
+    full = np.flatnonzero(np.diff(bounds))
+    if len(full):  # the ranges follow on each other
+        sums[full] = np.add.reduceat(values, bounds[full], dtype=np.int64)
+    return sums
 
 
 def repeated(keys: np.ndarray, owners: np.ndarray, first_too: bool) -> np.ndarray:
@@ -211,20 +216,24 @@ def base_counts(texts: flat.Texts) -> dict[str, np.ndarray]:
 
 
 def _languages(texts: flat.Texts) -> np.ndarray:
-    """The language whose common words each document holds most of, whatever signs stand around them; -1 if it holds none."""
+    """The language whose common words each document holds most of, whatever signs stand around them; -1 if they are too few."""
     starts, ends, bounds = texts.runs(_IN_LETTERS[texts.data])
     hashes = texts.hashes(starts, ends, fold=True)
     known, of = _common_words()
     at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
     found = known[at] == hashes
     counts = np.stack([_per_document(bounds, found & (of[at] == k)) for k in range(len(_LANGUAGES))], axis=1)
-    return np.where(counts.max(axis=1) > 0, counts.argmax(axis=1), -1)
+    most = counts.max(axis=1)
+    return np.where((most > 0) & (LEAST_SHARE * np.diff(bounds) <= most), counts.argmax(axis=1), -1)
 
 
 def scripts(texts: flat.Texts) -> np.ndarray:
     """The script that most letters of each document belong to."""
     kinds = _SCRIPT_OF[texts.data]
-    counts = np.stack([_per_document(texts.bounds, kinds == k) for k in range(1, len(_SCRIPTS))], axis=1)
+    counts = np.zeros((len(texts), len(_SCRIPTS) - 1), np.int64)
+    counts[:, 0] = _per_document(texts.bounds, kinds == 1)  # Latin letters are most of many texts
+    others = np.flatnonzero(kinds > 1)
+    np.add.at(counts, (texts.owner(others), kinds[others].astype(np.int64) - 1), 1)
     return np.where(counts.max(axis=1, initial=0) > 0, counts.argmax(axis=1) + 1, 0)
 
 
