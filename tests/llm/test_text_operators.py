@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -24,6 +25,8 @@ from tributary.llm import (
     substring_dedup,
     url_filters,
 )
+from tributary.llm.oracle import ORACLE_SQL
+from tributary.llm.queries import QUERIES
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 CASES = [None, "", " ", "\n", "\n\n \t\n", "one", "Two words", "ÉÀ x\x0by", "a  b   c", "日本語 テキスト ▁ a▁b", "😀" * 30, "x" * 5000]
@@ -518,3 +521,43 @@ def test_classifier_reads_a_text_alone():
         beside = quality_classifier.padded(np.concatenate([own, other]), np.array([0, n, n + 200]))
         assert np.array_equal(alone.valid, beside.valid[: len(alone.valid)])
         assert network.forward(beside)[0][0] == pytest.approx(network.forward(alone)[0][0], abs=1e-5)
+
+
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_decontamination_by_shuffle_and_by_broadcast(spark, oracle_rows, monkeypatch, most):
+    """Both ways to bring the benchmark's shingles to the documents' words, against SQL, on the whole tables."""
+    monkeypatch.setattr(decontamination, "MOST_BROADCAST", most)
+    found = QUERIES["op6_decontamination"](spark, "/root/testdata/sf0.001")
+    assert sorted(map(repr, map(tuple, found.select(sorted(found.columns)).collect()))) == oracle_rows
+
+
+@pytest.fixture(scope="module")
+def oracle_rows():
+    connection = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.001/{table}.parquet'")
+    answer = connection.execute(ORACLE_SQL["op6_decontamination"])
+    names = [column[0] for column in answer.description]
+    order = sorted(range(len(names)), key=names.__getitem__)
+    return sorted(repr(tuple(row[i] for i in order)) for row in answer.fetchall())
+
+
+def test_a_document_that_is_all_benchmark_costs_in_proportion(spark):
+    """Every word is hit, and every window is one of many items: what is compared grows with the length, not its square."""
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(3000)}" for _ in range(20_000)]
+    benchmark = spark.createDataFrame([(k, " ".join(words[k : k + 40])) for k in range(0, 20_000, 20)], "item_id int, text string")
+    docs = spark.createDataFrame([(1, " ".join(words), "x"), (2, " ".join(words[:2000]), "y")], "doc_id int, text string, items string")
+    found = {r["doc_id"]: r for r in decontamination.contaminated(docs, benchmark).collect()}
+    assert [tuple(s) for s in found[1]["spans"]] == [(0, 20_000)] and len(found[1]["items"]) == 1000
+    assert [tuple(s) for s in found[2]["spans"]] == [(0, 2000)] and len(found[2]["items"]) == 100
+
+
+def test_decontamination_with_null_and_repeated_ids(spark):
+    item = " ".join(f"q{k}" for k in range(12))
+    benchmark = spark.createDataFrame([(1, item), (2, "short one"), (3, None), (4, ""), (5, item)], "item_id int, text string")
+    rows = [(None, f"a {item} b"), (None, f"a {item} b"), (None, "clean"), (7, f"Short, ONE {item}"), (7, "nothing here"), (8, None), (9, "")]
+    found = decontamination.contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), benchmark).collect()
+    assert sorted((r["doc_id"] or 0, [tuple(s) for s in r["spans"]], r["items"]) for r in found) == [
+        (0, [(1, 13)], ["1", "5"]), (7, [(0, 14)], ["1", "2", "5"]),
+    ]

@@ -6,10 +6,13 @@ those of the benchmark in one pass; the hits that remain are few, and are
 written. They tell how rare each shingle is. As a window must be held whole,
 its prefix is its one rarest shingle: only documents with that shingle are
 candidates, at the place it fixes; places that reach over either end of the
-document fall away, and the rest are compared word by word.
+document fall away. Each shingle that a candidate window has to have, at its
+place, is then looked for among the hits, and windows that have them all stand.
 
 The benchmark's shingles are broadcast if they are few enough (counted first),
-and joined by shuffle otherwise. Texts are not shuffled.
+and joined by shuffle otherwise, with a row per word. Texts are not shuffled,
+and no row holds more than one window: a document that is nothing but benchmark
+costs in proportion to its length.
 
 Defined results: a null text, or one without words, is never hit; an item
 without words has no window. Items with equal windows all count. Copies of a
@@ -53,21 +56,23 @@ def _hits(docs: DataFrame, shingles: DataFrame, width: int, small: bool) -> Data
     following = [F.get("cut", F.col("at") + k) for k in range(1, width)]
     wanted = shingles.filter(F.col("width") == width).select(F.xxhash64(*[F.get(F.split("shingle", " "), F.lit(k)) for k in range(width)]).alias("hash")).distinct()
     places = docs.select("doc_id", "digest", "cut", F.posexplode("cut").alias("at", "word")).withColumn("hash", F.xxhash64("word", *following))
-    found = places.join(F.broadcast(wanted) if small else wanted, "hash")
-    shingle = F.concat_ws(" ", F.col("word"), *following)
-    at = (F.col("at") - leads(F.col("cut"))).alias("at")
-    n_words = word_count(F.col("cut")).cast("int").alias("n_words")
-    return found.select("doc_id", "digest", at, F.lit(width).alias("width"), n_words, shingle.alias("shingle"))
+    shown = [
+        F.col("doc_id"), F.col("digest"), (F.col("at") - leads(F.col("cut"))).alias("at"), F.lit(width).alias("width"),
+        word_count(F.col("cut")).cast("int").alias("n_words"), F.concat_ws(" ", F.col("word"), *following).alias("shingle"),
+    ]
+    if small:  # the array of words stays where it is: hits are made of it in the same step
+        return places.join(F.broadcast(wanted), "hash").select(*shown)
+    return places.select("hash", *shown).join(wanted, "hash").drop("hash")
 
 
 def occurrences(
     docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, id_column: str = "doc_id", text_column: str = "text",
     item_column: str = "item_id", item_text_column: str = "text",
 ) -> tuple[DataFrame, DataFrame]:
-    """Where windows stand: (id, digest of the text, start, window), and the items of each window."""
+    """Where windows stand: (id, digest of the text, start, the window's number and size), and the items of each window."""
     windows = written(windows_of(benchmark, size, item_column, item_text_column), "benchmark-windows")
-    items = windows.select("window", "item_id").distinct()
-    distinct = windows.select("window", "width").distinct()
+    distinct = written(windows.select("window", "width").distinct().withColumn("number", F.monotonically_increasing_id()), "benchmark-windows")
+    items = windows.join(distinct, ["window", "width"]).select("number", "item_id").distinct()
     shingles = distinct.select("width", F.explode(_shingle_texts("window", "width")).alias("shingle")).distinct()
     per_width = {row["width"]: row["count"] for row in shingles.groupBy("width").count().collect()}  # at most three rows
     text = text_or_empty(F.col(text_column))
@@ -81,27 +86,25 @@ def occurrences(
     hits = written(hits.distinct(), "benchmark-hits")
     # Rarity over all documents decides which shingle stands for a window.
     rarity = hits.groupBy("shingle").agg(F.count("at").alias("n"))
-    places = distinct.select("window", "width", F.posexplode(_shingle_texts("window", "width")).alias("offset", "shingle"))
+    places = distinct.select("number", F.posexplode(_shingle_texts("window", "width")).alias("offset", "shingle"))
     ranked = places.join(rarity, "shingle", "left")
-    prefix = ranked.groupBy("window", "width").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "shingle")).alias("rarest"))
-    prefix = prefix.filter(F.col("rarest.n") > 0).select("window", "width", "rarest.offset", F.col("rarest.shingle").alias("shingle"))
-    # All hits of a document lie together: at most one for each place and width.
-    hit = F.struct("at", "width", "shingle")
-    maps = hits.groupBy("doc_id", "digest", "n_words").agg(F.collect_list(hit).alias("held"))
-    by_place = F.map_from_entries(F.transform("held", lambda h: F.struct(h["at"] * 4 + h["width"], h["shingle"])))
-    started = maps.select("doc_id", "digest", "n_words", by_place.alias("by_place"), F.explode("held").alias("hit"))
+    prefix = ranked.groupBy("number").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "shingle")).alias("rarest"))
+    whole = distinct.select("number", F.size("window").alias("size"), _shingle_texts("window", "width").alias("expected"))
+    prefix = prefix.filter(F.col("rarest.n") > 0).join(whole, "number").select("number", "size", "expected", "rarest.offset", "rarest.shingle")
     candidates = (
-        started.select("doc_id", "digest", "n_words", "by_place", "hit.at", "hit.shingle")
-        .join(prefix, "shingle")
+        hits.join(prefix, "shingle")
         .withColumn("start", F.col("at") - F.col("offset"))
-        .filter((F.col("start") >= 0) & (F.col("start") + F.size("window") <= F.col("n_words")))
+        .filter((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n_words")))
+        .select("doc_id", "digest", "start", "number", "size", F.size("expected").alias("needed"), F.posexplode("expected").alias("k", "shingle"))
+        .withColumn("at", F.col("start") + F.col("k"))
     )
-    expected = _shingle_texts("window", "width")
-    held = F.forall(
-        F.arrays_zip(expected.alias("s"), F.sequence(F.lit(0), F.size(expected) - 1).alias("k")),
-        lambda x: F.try_element_at("by_place", (F.col("start") + x["k"]) * 4 + F.col("width")) == x["s"],
-    )
-    return candidates.filter(F.coalesce(held, F.lit(False))).select("doc_id", "digest", "start", "window"), items
+    there = hits.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("at").alias("__at"), F.col("shingle").alias("__shingle"))
+    same = (
+        candidates["doc_id"].eqNullSafe(there["__id"]) & (candidates["digest"] == there["__digest"])
+        & (candidates["at"] == there["__at"]) & (candidates["shingle"] == there["__shingle"])
+    )
+    matched = candidates.join(there, same).groupBy("doc_id", "digest", "start", "number", "size", "needed").agg(F.count("at").alias("n"))
+    return matched.filter("n = needed").select("doc_id", "digest", "start", "number", "size"), items
 
 
 def contaminated(
@@ -110,7 +113,7 @@ def contaminated(
 ) -> DataFrame:
     """Documents that hold a window: id, digest of the text, ``spans`` (start and end in words, merged), and ``items`` (ids as sorted strings)."""
     found, items = occurrences(docs, benchmark, size, id_column, text_column, item_column, item_text_column)
-    spans = found.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.size("window")).alias("end")))).alias("spans"))
+    spans = found.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end")))).alias("spans"))
     none = F.array().cast("array<struct<start:int,end:int>>")
 
     def merge(done: Column, span: Column) -> Column:
@@ -121,7 +124,7 @@ def contaminated(
 
     spans = spans.withColumn("spans", F.aggregate("spans", none, merge))
     held = (
-        found.select("doc_id", "digest", "window").distinct().join(items, "window").groupBy("doc_id", "digest")
+        found.select("doc_id", "digest", "number").distinct().join(items, "number").groupBy("doc_id", "digest")
         .agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     )
     return with_matches(spans, held, "doc_id", "digest")
