@@ -11,17 +11,20 @@ from tributary.operators.marts import (
     customer_summary_exact,
 )
 from tributary.operators.quality import key_violations, require_key
+from tributary.plans.changes import ChangedRefresh
 from tributary.plans.ingest import TableLoad, database_loads, ingest_tables
 from tributary.plans.refresh import read_curated, read_transformed, refresh
-from tributary.sinks.audit import read_log
+from tributary.sinks.audit import read_files_ledger, read_log, rejected_files
 from tributary.sinks.layers import append_load, replace_snapshot, set_up_layers
 from tributary.sources.delimited import read_delimited
 from tributary.sources.jdbc import JdbcSource, read_table
+from tributary.sources.quoted import read_quoted
 from tributary.streaming.arrivals import ingest_arrivals
 from tributary.streaming.current import CurrentTable, keep_current, replica
 
 __all__ = [
     "SPECS",
+    "ChangedRefresh",
     "CleanSpec",
     "CurrentTable",
     "JdbcSource",
@@ -42,10 +45,13 @@ __all__ = [
     "latest_by_key",
     "read_curated",
     "read_delimited",
+    "read_files_ledger",
     "read_log",
+    "read_quoted",
     "read_table",
     "read_transformed",
     "refresh",
+    "rejected_files",
     "replace_snapshot",
     "replica",
     "require_key",

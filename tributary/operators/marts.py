@@ -79,6 +79,17 @@ def _customer_columns(people: DataFrame, spent: Column, run_time: datetime | Non
     return conform(columns, schemas.CURATED["customer_summary"])
 
 
+def customer_rows(people: DataFrame, spent: Column, by_session: bool, run_time: datetime | None = None) -> DataFrame:
+    """The mart's rows of customers with their sums; ``by_session`` counts what was spent once per session, as ``customer_summary`` does."""
+    pairs = F.greatest(F.coalesce("session_rows", F.lit(0)), F.lit(1)) * F.col("copies")
+    return _customer_columns(people, times(spent, pairs) if by_session else spent, run_time)
+
+
+def campaign_rows(campaigns: DataFrame, spent: Column, run_time: datetime | None = None) -> DataFrame:
+    """The mart's rows of campaigns with their sums."""
+    return _campaign_columns(campaigns, spent, run_time)
+
+
 def customer_summary(
     customers: DataFrame,
     transactions: DataFrame,

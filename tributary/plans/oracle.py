@@ -287,6 +287,12 @@ ORACLE_SQL: dict[str, str] = {
     "refresh_customer_summary_exact": _customer_summary_exact(
         CLEANERS["customers"], CLEANERS["transactions"], CLEANERS["user_sessions"]
     ),
+    "changes_customer_summary": _customer_summary(
+        CLEANERS["customers"], CLEANERS["transactions"], CLEANERS["user_sessions"]
+    ),
+    "changes_campaign_summary_exact": _campaign_summary(
+        CLEANERS["campaigns"], CLEANERS["conversions"], "campaign_id", "revenue"
+    ),
     "refresh_campaign_summary_exact": _campaign_summary(
         CLEANERS["campaigns"], CLEANERS["conversions"], "campaign_id", "revenue"
     ),

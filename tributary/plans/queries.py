@@ -22,6 +22,7 @@ from tributary.operators.changes import CHANGE_OP, apply_changes
 from tributary.operators.clean import SPECS, clean, conform
 from tributary.operators.latest import latest_by_key
 from tributary.operators.quality import key_violations, not_negative, present
+from tributary.plans.changes import MARTS, ChangedRefresh
 from tributary.plans.driver_tables import RAW_VIEWS, TIE_BREAKS, driver_table, raw_view
 from tributary.plans.ingest import LoadError, TableLoad, ingest_tables
 from tributary.plans.refresh import read_curated, read_transformed, refresh
@@ -489,6 +490,23 @@ def refreshed_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_transformed(spark, _refreshed(spark, sf_dir), "transactions").drop("ingestion_time")
 
 
+def changed_mart(mart: str) -> Query:
+    """A mart that followed two loads, of which the later holds newer and older versions of the earlier one's keys."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spec = MARTS[mart]
+        marts_ = ChangedRefresh(work_folder(spark, "changed"), (mart,), TIE_BREAKS, buckets=4)
+        for number in range(2):
+            batches = {}
+            for entity in (spec.entity, *(child.entity for child in spec.children)):
+                rows = raw_view(spark, sf_dir, entity)
+                batches[entity] = rows.filter(F.pmod(F.hash(*rows.columns), F.lit(2)) == number)
+            marts_.apply(batches, number)
+        return marts_.read(spark, mart).drop("ingestion_time")
+
+    return query
+
+
 QUERIES: dict[str, Query] = {
     "latest_by_key": latest_events,
     "dedup_lineitem": dedup_lineitem,
@@ -523,5 +541,7 @@ QUERIES: dict[str, Query] = {
     "refresh_customer_summary": refreshed_mart("customer_summary"),
     "refresh_campaign_summary": refreshed_mart("campaign_summary"),
     "refresh_customer_summary_exact": refreshed_mart("customer_summary", exact=True),
+    "changes_customer_summary": changed_mart("customer_summary"),
+    "changes_campaign_summary_exact": changed_mart("campaign_summary_by_conversion"),
     "refresh_campaign_summary_exact": refreshed_mart("campaign_summary", exact=True),
 }

@@ -56,6 +56,20 @@ class CurrentTable:
     def read(self, spark: SparkSession) -> DataFrame:
         return read_current(spark, self.path)
 
+    def rows_of(self, keys: DataFrame) -> DataFrame | None:
+        """The stored rows of the keys in ``keys``, deletions too; only buckets that they fall into are read.  None before the first merge."""
+        spark = keys.sparkSession
+        if not is_current(spark, self.path):
+            return None
+        stored = spark.read.parquet(self._content)
+        wanted = self._with_bucket(keys.select(*[F.col(key).cast(stored.schema[key].dataType) for key in self.keys]))
+        numbers = [row[0] for row in wanted.select(KEY_BUCKET).distinct().collect()]  # at most ``buckets``
+        wanted = wanted.select(*[F.col(key).alias(f"__{key}") for key in self.keys])
+        same = F.lit(True)
+        for key in self.keys:
+            same = same & stored[key].eqNullSafe(wanted[f"__{key}"])
+        return stored.filter(F.col(KEY_BUCKET).isin(numbers)).join(wanted, same, "left_semi").drop(KEY_BUCKET)
+
     def _with_bucket(self, df: DataFrame) -> DataFrame:
         return df.withColumn(KEY_BUCKET, F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
 
