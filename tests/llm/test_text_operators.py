@@ -417,24 +417,33 @@ def test_passages(docs, rows, empty):
 
 def test_similar_windows_against_sets():
     rng = random.Random(6)
-    for _ in range(60):
-        left = [rng.randrange(10**6) for _ in range(120)]
+    lefts, rights = [], []
+    for k in range(200):
+        left = [rng.randrange(1, 10**6) for _ in range(91)]
         right = list(left)
-        for _ in range(rng.randint(0, 4)):
-            right[rng.randrange(120)] = rng.randrange(10**6)
-        if rng.random() < 0.5:
-            right.insert(rng.randrange(120), 7)
-        cut = rng.randint(0, 20)
-        right = right[cut:]
-        found = set(substring_dedup.similar_windows(np.array(left, np.uint32), np.array(right, np.uint32), cut, 46, 80).tolist())
-        expected = set()
-        for i in range(len(left) - 45):
-            j = i - cut
-            if 0 <= j <= len(right) - 46:
-                x, y = set(left[i : i + 46]), set(right[j : j + 46])
-                if 100 * len(x & y) >= 80 * len(x | y):
-                    expected.add(i)
-        assert found == expected
+        first = rng.randrange(91)
+        new = [rng.randrange(1, 10**6) for _ in range(5)]
+        if k % 4 == 1:  # a word changed: five shingles
+            right[first : first + 5] = new
+        elif k % 4 == 2:  # a word put in: four shingles become five
+            right[first : first + 4] = new
+        elif k % 4 == 3:  # a word left out
+            right[first : first + 5] = new[:4]
+        right = (right + [rng.randrange(1, 10**6) for _ in range(5)])[:91]
+        if k % 5 == 0:
+            edge = rng.randrange(1, 40)
+            left[:edge] = [0] * edge
+        lefts.append(left)
+        rights.append(right)
+    found = substring_dedup.similar_windows(np.array(lefts, np.uint32), np.array(rights, np.uint32), 46, 80)
+    some = 0
+    for k, (left, right) in enumerate(zip(lefts, rights, strict=True)):
+        for s in range(46):
+            x, y = set(left[s : s + 46]), set(right[s : s + 46])
+            expected = 0 not in x | y and 100 * len(x & y) >= 80 * len(x | y)
+            assert found[k, s] == expected
+            some += expected
+    assert 2000 < some < 9000
 
 
 def fresh(rng, n):
@@ -491,13 +500,25 @@ def test_passages_past_the_span_shared_with_a_centre(spark):
         assert {found[3 * k + j][1] for j in range(3)} == {3 * k}
 
 
-def test_open_documents_meet_resolved_ones(spark):
+def test_open_surroundings_meet_resolved_ones(spark):
     """What is resolved by a centre is compared with what that centre leaves open."""
-    rows = [(1, 1, [5], True, 0), (1, 2, [6], True, 0), (2, 1, [7], True, 0), (2, 3, [8], True, 0), (3, 4, [9], True, 0)]
-    against = spark.createDataFrame(rows, "sig bigint, node bigint, places array<int>, open boolean, centre bigint")
-    spans = spark.createDataFrame([(1, 0, 0, 60)], "node bigint, centre bigint, start int, end int")
-    rest = substring_dedup._rest(against, substring_dedup._unresolved(against, spans, 46))
-    assert {(r["sig"], r["node"], r["open"]) for r in rest.collect()} == {(1, 1, False), (1, 2, True), (2, 1, False), (2, 3, True)}
+    groups = spark.createDataFrame([(1, a, a, a) for a in (1, 2, 3, 4)], "key bigint, around bigint, low bigint, high bigint")
+    similar = {(1, 2), (2, 3)}
+    seen = []
+
+    def verified(pairs):
+        seen.extend((r["a"], r["b"]) for r in pairs.collect())
+        return pairs.filter(" or ".join(f"(a = {a} and b = {b})" for a, b in similar)).select("a", "b", F.lit(0).alias("low"), F.lit(0).alias("high"))
+
+    found, left = substring_dedup._rounds(groups, verified, 3)
+    assert {(r["a"], r["b"]) for part in found for r in part.collect()} == similar
+    assert len(seen) == len(set(seen)) and left.isEmpty()
+
+
+def test_surroundings_of_one_document_are_not_compared(spark):
+    rows = [((1, 5, 5), (2, 5, 5)), ((1, 5, 5), (3, 5, 6)), ((4, 6, 6), (1, 5, 5)), ((1, 5, 5), (4, 6, 6))]
+    against = spark.createDataFrame(rows, "x struct<around:bigint,low:bigint,high:bigint>, y struct<around:bigint,low:bigint,high:bigint>")
+    assert {tuple(r) for r in substring_dedup._pairs(against).collect()} == {(1, 5, 3, 5), (1, 5, 4, 6)}
 
 
 def test_passages_with_one_word_changed(spark):

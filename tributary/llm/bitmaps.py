@@ -55,6 +55,11 @@ def holds_rows(bitmap: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return _held(bitmap, (rows + (rows >> 40) * _TASK_STEP) & (BITS - 1))
 
 
+def holds_pairs(bitmap: np.ndarray, keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Which pairs of a 64-bit hash and a row number have the bit set that is the sum of both's."""
+    return _held(bitmap, ((keys & (BITS - 1)) + (rows + (rows >> 40) * _TASK_STEP)) & (BITS - 1))
+
+
 def holds_names(bitmap: np.ndarray, names: np.ndarray) -> np.ndarray:
     """Which names (rows of bytes) have their bit set."""
     first = np.ascontiguousarray(names[:, :4]).view(">u4")[:, 0]
