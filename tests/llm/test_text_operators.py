@@ -502,7 +502,7 @@ def test_passages_past_the_span_shared_with_a_centre(spark):
 
 def test_open_surroundings_meet_resolved_ones(spark):
     """What is resolved by a centre is compared with what that centre leaves open."""
-    groups = spark.createDataFrame([(1, a, a, a) for a in (1, 2, 3, 4)], "key bigint, around bigint, low bigint, high bigint")
+    groups = spark.createDataFrame([(1, a, a, a, True) for a in (1, 2, 3, 4)], "key bigint, around bigint, low bigint, high bigint, open boolean")
     similar = {(1, 2), (2, 3)}
     seen = []
 
