@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.storage import work_folder
+from tributary.storage import Folder, work_folder
 
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What stands between words, as the operators on phrases see it: all ASCII but figures and letters.
@@ -66,6 +66,18 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(df: DataFrame, purpose: str) -> Iterator[DataFrame]:
+    """Like ``written``, for a table that only jobs within read: its folder goes when these have written their results."""
+    spark = df.sparkSession
+    path = work_folder(spark, purpose)
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        Folder(spark, path).remove()
+
+
 @contextmanager
 def shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """Within, the files of a job's shuffles go when the job has ended: for work that writes what it needs later."""
