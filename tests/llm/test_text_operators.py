@@ -25,6 +25,7 @@ from tributary.llm import (
     substring_dedup,
     url_filters,
 )
+from tributary.llm.columns import written
 from tributary.llm.oracle import ORACLE_SQL
 from tributary.llm.queries import QUERIES
 
@@ -508,7 +509,8 @@ def test_open_surroundings_meet_resolved_ones(spark):
 
     def verified(pairs):
         seen.extend((r["a"], r["b"]) for r in pairs.collect())
-        return pairs.filter(" or ".join(f"(a = {a} and b = {b})" for a, b in similar)).select("a", "b", F.lit(0).alias("low"), F.lit(0).alias("high"))
+        kept = pairs.filter(" or ".join(f"(a = {a} and b = {b})" for a, b in similar))
+        return written(kept.select("a", "b", F.lit(0).alias("low"), F.lit(0).alias("high")), "similar")
 
     found, left = substring_dedup._rounds(groups, verified, 3)
     assert {(r["a"], r["b"]) for part in found for r in part.collect()} == similar
