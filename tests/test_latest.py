@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import plan_of, rows_of
 from tributary.operators.latest import latest_by_key
-from tributary.operators.quality import key_violations, not_negative, positive, require_key
+from tributary.operators.quality import key_violations, load_key_violations, not_negative, positive, require_key
 
 import pytest
 
@@ -79,3 +79,13 @@ def test_timestamps_order_by_instant(spark):
         [(1, datetime(2026, 1, 1), "old"), (1, datetime(2026, 1, 1, 0, 0, 0, 1), "new")], "k INT, t TIMESTAMP_NTZ, v STRING"
     )
     assert latest_by_key(df, ["k"], ["t"]).first()["v"] == "new"
+
+
+def test_key_violations_of_a_load(spark):
+    columns = "a int, b int, c string"
+    table = spark.createDataFrame([(1, 1, "x"), (1, 2, "x"), (5, 5, "x"), (5, 5, "y"), (None, 3, "x")], columns)
+    load = spark.createDataFrame([(1, 1, "z"), (2, 1, "z"), (3, 3, "z"), (3, 3, "w"), (None, 3, "z")], columns)
+    # (5, 5) is no key of the load; what a null stands for is not looked up.
+    assert rows_of(load_key_violations(load, table, ["a", "b"])) == [(None, 3, 1), (1, 1, 2), (3, 3, 2)]
+    assert load_key_violations(load.limit(0), table, ["a", "b"]).count() == 0
+    assert rows_of(load_key_violations(load, table.limit(0), ["a", "b"])) == [(None, 3, 1), (3, 3, 2)]

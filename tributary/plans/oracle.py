@@ -195,6 +195,12 @@ ORACLE_SQL: dict[str, str] = {
         GROUP BY l_orderkey, l_linenumber
         HAVING count(*) > 1 OR l_orderkey IS NULL OR l_linenumber IS NULL
     """,
+    "key_check_load": """
+        SELECT l_orderkey, count(*) AS occurrences FROM lineitem
+        WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE CAST(l_shipdate AS DATE) >= DATE '1998-01-01')
+        GROUP BY l_orderkey HAVING count(*) > 1
+    """,
+    "even_ranges": "SELECT count(*) AS n_rows, CAST(16 AS BIGINT) AS n_ranges, true AS even FROM orders",
     **{f"clean_{entity}": sql for entity, sql in CLEANERS.items()},
     "title_case": f"""
         SELECT p_partkey, {_title('p_name')} AS name, {_title(_TITLE_LABEL)} AS label,

@@ -21,7 +21,7 @@ from tributary.operators import marts
 from tributary.operators.changes import CHANGE_OP, apply_changes
 from tributary.operators.clean import SPECS, clean, conform
 from tributary.operators.latest import latest_by_key
-from tributary.operators.quality import key_violations, not_negative, present
+from tributary.operators.quality import key_violations, load_key_violations, not_negative, present
 from tributary.plans.changes import MARTS, ChangedRefresh
 from tributary.plans.driver_tables import RAW_VIEWS, TIE_BREAKS, driver_table, raw_view
 from tributary.plans.ingest import LoadError, TableLoad, ingest_tables
@@ -29,6 +29,7 @@ from tributary.plans.refresh import read_curated, read_transformed, refresh
 from tributary.sinks.audit import read_files_ledger, read_log
 from tributary.sinks.layers import append_load, publish, replace_snapshot, snapshot_date
 from tributary.sources.delimited import read_delimited
+from tributary.sources.jdbc import even_conditions
 from tributary.sources.quoted import read_quoted
 from tributary.sources.tables import INGESTION_DATE, read_appended, read_raw, read_snapshot
 from tributary.storage import Folder, work_folder
@@ -75,6 +76,22 @@ def key_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return key_violations(driver_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
+def key_check_of_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last year's lines as a load against the lines before it: orders that have some of both, or several new ones."""
+    lines = driver_table(spark, sf_dir, "lineitem")
+    new = F.col("l_shipdate").cast("date") >= F.lit("1998-01-01").cast("date")
+    return load_key_violations(lines.filter(new), lines.filter(~new), ["l_orderkey"])
+
+
+def even_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of bunched ids: squares, so that equal widths would be uneven."""
+    keys = driver_table(spark, sf_dir, "orders").select((F.col("o_orderkey") * F.col("o_orderkey")).alias("id"))
+    held = F.array(*[F.expr(f"int({condition})") for condition in even_conditions(keys, "id", 16)])
+    each = keys.select(F.posexplode(F.filter(F.transform(held, lambda x, k: F.when(x == 1, k)), lambda k: k.isNotNull())))
+    ranges = each.groupBy("col").agg(F.count(F.lit(1)).alias("n"))
+    return ranges.agg(F.sum("n").cast("bigint").alias("n_rows"), F.count(F.lit(1)).alias("n_ranges"), (F.max("n") <= 2 * F.avg("n")).alias("even"))
+
+
 # --- cleaners --------------------------------------------------------------------------------
 
 
@@ -512,6 +529,8 @@ QUERIES: dict[str, Query] = {
     "dedup_lineitem": dedup_lineitem,
     "quality_filter": quality_filter,
     "key_check": key_check,
+    "key_check_load": key_check_of_load,
+    "even_ranges": even_ranges,
     **{f"clean_{entity}": cleaner(entity) for entity in RAW_VIEWS},
     "title_case": title_case_names,
     "time_functions": time_functions,
