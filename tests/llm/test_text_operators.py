@@ -523,6 +523,56 @@ def test_surroundings_of_one_document_are_not_compared(spark):
     assert {tuple(r) for r in substring_dedup._pairs(against).collect()} == {(1, 5, 3, 5), (1, 5, 4, 6)}
 
 
+def with_one_change(rng, passage, at, kind):
+    """The passage with its word at a place changed, left out, or another put in before it, and how many of its words it has."""
+    changed = {"other": fresh(rng, 1), "more": [*fresh(rng, 1), passage[at]], "less": [], "twice": [passage[at]] * 2}[kind]
+    return [*passage[:at], *changed, *passage[at + 1 :]]
+
+
+@pytest.mark.parametrize("kind", ["other", "more", "less", "twice"])
+def test_passages_with_one_change_anywhere(spark, kind):
+    """None is left to chance: of 51 shingles 41 are shared wherever the change is."""
+    rng = random.Random(23)
+    documents = []
+    length = 51 if kind == "less" else 50
+    for k in range(150):
+        passage = fresh(rng, length)
+        at = k % length
+        documents += [[*fresh(rng, k % 7), *passage, *fresh(rng, 30)], [*fresh(rng, 40), *with_one_change(rng, passage, at, kind), *fresh(rng, k % 5)]]
+    found = covered_words(spark, documents)
+    for k in range(0, len(documents), 2):
+        assert found[k][1] == found[k + 1][1] == k, documents[k]
+        first = k // 2 % 7
+        assert len(found[k][0] & set(range(first, first + length))) >= 50 and len(found[k + 1][0] & set(range(40, 90))) >= 49
+
+
+def test_near_passages_of_many_documents_against_sets(spark):
+    """Variants of one passage, each with changes of its own: spans and classes as all pairs of windows give them."""
+    rng = random.Random(24)
+    base, documents = [fresh(rng, 70) for _ in range(3)], []
+    for k in range(45):
+        passage = list(base[k % 3])
+        for _ in range(k % 4):
+            passage = with_one_change(rng, passage, rng.randrange(len(passage)), rng.choice(["other", "more", "less"]))
+        documents.append([*fresh(rng, rng.randrange(8)), *passage, *fresh(rng, rng.randrange(8))])
+    documents.append([*documents[3], *documents[0]])  # a document that holds both a passage and its variant
+    windows = []
+    for i, w in enumerate(documents):
+        shingles = [tuple(w[j : j + 5]) for j in range(len(w) - 4)]
+        windows += [(i, j, frozenset(shingles[j : j + 46])) for j in range(len(shingles) - 45)]
+    expected, least = {i: set() for i in range(len(documents))}, list(range(len(documents)))
+    for a, (i, x, left) in enumerate(windows):
+        for j, y, right in windows[a + 1 :]:
+            if i != j and 100 * len(left & right) >= 80 * len(left | right):
+                expected[i].update(range(x, x + 50))
+                expected[j].update(range(y, y + 50))
+                low, high = sorted((least[i], least[j]))
+                least = [low if c == high else c for c in least]
+    found = covered_words(spark, documents)
+    assert {i: f[0] for i, f in found.items()} == expected
+    assert [found[i][1] for i in range(len(documents))] == least
+
+
 def test_passages_with_one_word_changed(spark):
     """50 words with the middle one changed share 41 of 51 shingles, just enough."""
     rng = random.Random(14)

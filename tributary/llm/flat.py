@@ -116,6 +116,18 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.nda
     return rolled[keep], out_bounds
 
 
+def run_sums(values: np.ndarray) -> np.ndarray:
+    """Sums from which ``run_hashes`` tells the hash of any run of the values."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(mixed(values.astype(np.uint64)) * power(_BASE, len(values))[:-1], out=sums[1:])
+    return sums
+
+
+def run_hashes(sums: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hashes of the runs of ``length`` values that begin at ``first``."""
+    return mixed((sums[first + length] - sums[first]) * power(_INVERSE, len(sums) - 1)[first] + np.uint64(length))
+
+
 def segment_ids(bounds: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
 

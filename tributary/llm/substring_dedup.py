@@ -3,28 +3,39 @@
 The tokens of a document are its shingles of five words. Under one hash, all
 windows whose least token is the same one, at place m, form a compact window:
 the span between the nearest smaller tokens on either side of m, a node of the
-Cartesian tree over the hashes. Only spans of at least one passage matter, and
-there are about 2 n / passage of them. Passages that are alike have a compact
-window of the same least token, and, around that token, a run of tokens in
-common on one side or the other: both go into the signature, so that a short
-line which stands in many documents does not make them candidates.
-
-Signatures that one document alone has are dropped by a bitmap. All windows that
-hold a place lie in its surroundings, the tokens less than a passage away, and
-places with equal surroundings are alike: what is compared are the different
-surroundings of a signature, laid one upon the other at the place, so that two
-documents which hold a line many times do not make all pairs of places. One of
-them is the centre, and each other one is compared with it, first by four bits
-of each token, then, where these let a window be similar, by 16 others. Those
-not similar to the centre are open, and the next centre is one of them. What is
-open after ``ROUNDS`` centres, and not known to repeat by another signature or
-as a whole, is compared with all that share the signature and two more runs of
-tokens. Every window of a passage's length whose tokens are similar enough
-to those of the window laid upon it counts.
-
-Exact repeats of a passage are all found: windows around places of signatures
-are also compared as wholes, by one hash, whatever the centres. Near ones are
-candidates with a chance that grows with the number of hashes and their length.
+Cartesian tree over the hashes. Around m, a run of tokens on one side or the
+other goes into the signature; signatures that one document alone has are
+dropped by a bitmap.
+
+Two windows of a passage's length are similar if they share, in order and in one
+or two runs, all tokens but those that may differ. If these are fewer than two
+changed words leave (``percent`` 80 of 50 words: five, and one changed word is
+in five shingles), the longer run has at least half of the tokens that must be
+shared, its least token is at the same place of both, and a signature of compact
+windows of that length finds it, whatever the text. So nothing is left to chance:
+
+* Runs of half the shared tokens, around places of live signatures, are hashed.
+  Of those that several documents hold it is known where they branch: where the
+  tokens before or after them are not all the same.
+* Windows all of whose runs are held by several documents are compared by hash.
+* Windows that differ at their ends, or in the midst, begin or break off a run
+  where it branches. The shared tokens are one hash of one or of two runs, for
+  each place where the change may lie in the window; equal hashes are similar
+  windows. Of windows that stand in several documents only one is taken along,
+  and of breaks only those with a next token behind the gap that others have.
+
+All of that is grouping by hashes: documents that share a passage are not paired,
+but linked with the least of them, and the rows grow with the text.
+
+With a lower ``percent`` windows may differ in two places and more. Then the
+surroundings of a place, the tokens less than a passage away, are laid one upon
+the other under several hashes. One is the centre, and each other one is compared
+with it, first by four bits of each token, then by 16 others. Those not similar
+to the centre are open, and the next centre is one of them. What is open after
+``ROUNDS`` centres, and not known to repeat by another signature or as a whole,
+is compared with all that share the signature and two more runs of tokens. There
+near repeats are candidates with a chance that grows with the number of hashes
+and their length; exact ones are all found.
 
 Equal texts are one node. A signature counts at all its places in a document;
 of places with the same surroundings one is compared, and the other places of
@@ -33,13 +44,16 @@ windows found there are added at the end. What the driver handles is bitmaps of
 
 Defined results: documents are told apart by id; rows that share an id count as
 one document and get their own texts' spans. Null or short texts have none. A
-passage that repeats only inside one document is not reported.
+passage that repeats only inside one document is not reported. Windows with more
+than one stretch of three and more equal words that are not as long in the other
+window may differ by that in two places; they are no similar windows here.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -165,7 +179,7 @@ def _apart(keys: np.ndarray, places: np.ndarray, tokens: np.ndarray, bounds: np.
     return keys[first], places[first]
 
 
-def _measured(rows: DataFrame, id_type: str, size: int, hashes: int, context: int, live) -> DataFrame:
+def _measured(rows: DataFrame, id_type: str, size: int, run_size: int, hashes: int, context: int, live) -> DataFrame:
     """Each row's id, number of words, name of the text, and a number of its own.
 
     Rows with live signatures also have these with their places, the tokens (32
@@ -180,7 +194,7 @@ def _measured(rows: DataFrame, id_type: str, size: int, hashes: int, context: in
         for batch in batches:
             for texts in flat.slices(batch.column(1)):
                 tokens, bounds, n_words = _tokens(texts)
-                keys, places = signatures(tokens, bounds, size, hashes, context)
+                keys, places = signatures(tokens, bounds, run_size, hashes, context)
                 held = bitmaps.holds(live.value, keys)
                 all_, (keys, places) = places[held], _apart(keys[held], places[held], tokens, bounds, size)
                 cuts, total = np.searchsorted(places, bounds), np.searchsorted(np.sort(all_), bounds)
@@ -494,6 +508,225 @@ def _exact(held: DataFrame, nodes: DataFrame, size: int) -> tuple[DataFrame, Dat
     return spans.join(short, "short").select("node", "start", "end"), links.join(short, "short").join(low, "low").select(F.col("node").alias("a"), "b")
 
 
+class _Runs:
+    """Some nodes' tokens, one after another, and their runs of ``run`` tokens that hold a place of a live signature."""
+
+    def __init__(self, part: pa.RecordBatch, run: int):
+        own = [np.frombuffer(x.as_buffer(), np.uint32) for x in part.column(2)]
+        self.run, self.short, self.tokens = run, part.column(1).to_numpy(), np.concatenate(own)
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+        self.owner, self._bounds = flat.segment_ids(bounds), bounds
+        self._sums = flat.run_sums(self.tokens)
+        places = part.column(3).flatten().to_numpy() + np.repeat(bounds[:-1], np.diff(part.column(3).offsets.to_numpy()))
+        low, high = np.maximum(places - run + 1, self.begin(places)), np.minimum(places, self.end(places) - run)
+        near = np.bincount(low, minlength=len(self.tokens) + 1) - np.bincount(high + 1, minlength=len(self.tokens) + 1)
+        self.starts = np.flatnonzero(np.cumsum(near) > 0)
+
+    def begin(self, at: np.ndarray) -> np.ndarray:
+        return self._bounds[self.owner[at]]
+
+    def end(self, at: np.ndarray) -> np.ndarray:
+        return self._bounds[self.owner[at] + 1]
+
+    def hashes(self, first: np.ndarray, length: int) -> np.ndarray:
+        return flat.run_hashes(self._sums, first, length)
+
+    def token(self, at: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """The token at a place, zero where the place is not inside its document."""
+        return np.where(inside, np.maximum(self.tokens[np.where(inside, at, 0)], 1), 0)
+
+    def mark(self, repeated: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+        """Tell from bitmaps which runs several nodes hold, and which of these branch on which side."""
+        keys, n = self.hashes(self.starts, self.run), len(self.tokens)
+        again = bitmaps.holds(repeated, keys)
+        marked = np.zeros(n + 1, np.int64)
+        marked[1:][self.starts[again]] = 1
+        self._counts = np.cumsum(marked)
+        self.left, self.right = self.starts[again & bitmaps.holds(left, keys)], self.starts[again & bitmaps.holds(right, keys)]
+
+    def several(self, first: np.ndarray, length: int) -> np.ndarray:
+        """Where all of a run of ``length`` tokens, each with its neighbours, is held by several nodes; runs never cross documents."""
+        after = first + length - self.run + 1
+        inside = (first >= 0) & (after <= len(self.tokens))
+        return inside & (self._counts[np.where(inside, after, 0)] - self._counts[np.where(inside, first, 0)] == length - self.run + 1)
+
+    def weigh(self, size: int, known: np.ndarray, speaks: np.ndarray) -> None:
+        """Tell from bitmaps which windows of ``size`` tokens several nodes hold, and for which of these this node speaks."""
+        self.size, n = size, len(self.tokens)
+        new, self._speaks = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+        at = np.arange(max(0, n - size + 1))
+        hashes = self.hashes(at, size)
+        new[1:][at] = ~bitmaps.holds(known, hashes)
+        self._speaks[1:][at] = bitmaps.holds(speaks, hashes + self.short[self.owner[at]].view(np.uint64))
+        self._new, self._speaks = np.cumsum(new), np.cumsum(self._speaks)
+
+    def taken(self, low: np.ndarray, high: np.ndarray, all_: bool = False) -> np.ndarray:
+        """Where windows that begin from ``low`` to ``high`` are to be compared in parts.
+
+        Those that several nodes hold are found as wholes, and two of these nodes speak for all, by the last of such
+        windows: one may be the node that holds the other window, too. ``all_``: where any may speak.
+        """
+        some = low <= high
+        low, high = np.where(some, low, 0), np.where(some, high, 0)
+        spoken = self._speaks[high + 1] - self._speaks[low if all_ else high]
+        return some & ((self._new[high + 1] > self._new[low]) | (spoken > 0))
+
+    def around(self, at: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the windows that hold ``length`` tokens from ``first`` begin, first and last."""
+        return np.maximum(first + length - self.size, self.begin(at)), np.minimum(first, self.end(at) - self.size)
+
+    def behind(self, at: np.ndarray, side: int, gap: int) -> np.ndarray:
+        """A hash of the run at a branch and of the token behind the gap."""
+        token = self.tokens[at - gap - 1 if side else at + self.run + gap].astype(np.uint64)
+        return flat.mixed(self.hashes(at, self.run) + flat.mixed(token * np.uint64(2) + np.uint64(side)))
+
+
+def _run_parts(batches: Iterator[pa.RecordBatch], wanted, run: int) -> Iterator[_Runs]:
+    for batch in batches:
+        batch = batch.filter(pa.array(bitmaps.holds_rows(wanted.value, batch.column(0).to_numpy())))  # copies are left out
+        for part in _slices(batch, 2):
+            yield _Runs(part, run)
+
+
+def _repeated_runs(rows: DataFrame, wanted, run: int) -> DataFrame:
+    """The runs that several nodes hold (``key``), and whether the tokens before and after them differ (``left``, ``right``)."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for runs in _run_parts(batches, wanted, run):
+            at = runs.starts
+            before, after = runs.token(at - 1, at > runs.begin(at)), runs.token(at + run, at + run < runs.end(at))
+            columns = [runs.hashes(at, run).view(np.int64), runs.short[runs.owner[at]], before.astype(np.uint32).view(np.int32), after.astype(np.uint32).view(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "short", "before", "after"])
+
+    found = rows.mapInArrow(emit, "key bigint, short bigint, before int, after int")
+    differ = [(F.min(c) != F.max(c)).alias(name) for c, name in (("short", "several"), ("before", "left"), ("after", "right"))]
+    return found.groupBy("key").agg(*differ).filter("several").drop("several")
+
+
+def _with_several(found: DataFrame, purpose: str) -> DataFrame:
+    """The rows (window, short, ...) of windows that several nodes hold, with the least and the greatest of these."""
+    several = found.groupBy("window").agg(F.min("short").alias("low"), F.max("short").alias("high")).filter("low != high")
+    return written(found.join(several, "window"), purpose)
+
+
+def _ends(runs: _Runs, needed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs of ``needed`` tokens that begin or end at a branch, with the branching run."""
+    for at, first in ((runs.left, runs.left), (runs.right, runs.right + runs.run - needed)):
+        some = runs.several(first, needed) & (first >= runs.begin(at))
+        at, first = at[some], first[some]
+        keep = runs.taken(*runs.around(at, first, needed))
+        yield at[keep], first[keep]
+
+
+def _gaps(runs: _Runs, needed: int, behind: np.ndarray | None = None) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """Two runs of ``needed`` tokens together, with a gap, of which the longer one ends (side 0) or begins (1) at a branch.
+
+    Gives side, gap, length of the first run, the branching runs, and where the first one begins; ``behind`` is a bitmap
+    of hashes of branching runs and tokens behind the gap.
+    """
+    for side, every in ((0, runs.right), (1, runs.left)):
+        low = np.maximum(every + runs.run - runs.size if side == 0 else every - runs.size, runs.begin(every))
+        every = every[runs.taken(low, np.minimum(every, runs.end(every) - runs.size), True)]
+        for gap in range(min(runs.size - needed, WIDTH) + 1):
+            inside = every - gap - 1 >= runs.begin(every) if side else every + runs.run + gap < runs.end(every)
+            near = every[inside]
+            if behind is not None:
+                near = near[bitmaps.holds(behind, runs.behind(near, side, gap))]
+            for shared in range(runs.run, needed):
+                left = needed - shared if side else shared
+                first = near - gap - left if side else near + runs.run - left
+                some = runs.several(near if side else first, shared)
+                some &= (first >= runs.begin(near)) & (first + needed + gap <= runs.end(near))
+                at, first = near[some], first[some]
+                keep = runs.taken(*runs.around(at, first, needed + gap))
+                yield side, gap, left, at[keep], first[keep]
+                near = near[runs.several(near if side else near + runs.run - left, shared)]  # no longer one is a run, either
+
+
+def _shared_windows(held: DataFrame, nodes: DataFrame, size: int, needed: int, run: int) -> tuple[DataFrame, DataFrame]:
+    """Spans (node, start, end) of windows that are similar to windows of other nodes, and links (a, b) of these nodes."""
+    context = held.sparkSession.sparkContext
+    wanted = context.broadcast(bitmaps.collected(nodes, bitmaps.bit_of_row(F.col("node"))))
+    rows = held.select("row", F.xxhash64("name").alias("short"), "tokens", "places")
+    with passing(_repeated_runs(rows, wanted, run), "passage-runs") as repeated:
+        bits = [bitmaps.collected(some, bitmaps.bit_of_long(F.col("key"))) for some in (repeated, repeated.filter("left"), repeated.filter("right"))]
+    marks = context.broadcast(bits)
+
+    def wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for runs in _run_parts(batches, wanted, run):
+            runs.mark(*marks.value)
+            at = runs.starts[runs.several(runs.starts, size)]
+            start = (at - runs.begin(at)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(runs.hashes(at, size).view(np.int64)), pa.array(runs.short[runs.owner[at]]), pa.array(start), pa.array(start)], names=names)
+
+    names, kinds = ["window", "short", "first", "last"], "window bigint, short bigint, first int, last int"
+    whole = _with_several(rows.mapInArrow(wholes, kinds), "passage-windows")
+    two = whole.filter("short = low or short = high")
+    known = context.broadcast([bitmaps.collected(whole, bitmaps.bit_of_long(F.col("window"))), bitmaps.collected(two, _sum_bit("window", "short"))])
+
+    def seconds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for runs in _run_parts(batches, wanted, run):
+            runs.mark(*marks.value)
+            runs.weigh(size, *known.value)
+            for (side, gap), breaks in groupby(_gaps(runs, needed), lambda found: found[:2]):
+                at = np.unique(np.concatenate([found[3] for found in breaks]))
+                follows = runs.tokens[at - 1 if side else at + run].view(np.int32)
+                columns = [runs.behind(at, side, gap).view(np.int64), runs.short[runs.owner[at]], follows]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "short", "follows"])
+
+    second = rows.mapInArrow(seconds, "key bigint, short bigint, follows int").groupBy("key")
+    second = second.agg((F.min("short") != F.max("short")).alias("several"), (F.min("follows") != F.max("follows")).alias("differ")).filter("several and differ")
+    gaps = context.broadcast(bitmaps.collected(second, bitmaps.bit_of_long(F.col("key"))))
+
+    def broken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(runs: _Runs, at: np.ndarray, first: np.ndarray, length: int, keys: np.ndarray) -> pa.RecordBatch:
+            starts = [(place - runs.begin(at)).astype(np.int32) for place in runs.around(at, first, length)]
+            columns = [keys.view(np.int64), runs.short[runs.owner[at]], *starts]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+        for runs in _run_parts(batches, wanted, run):
+            runs.mark(*marks.value)
+            runs.weigh(size, *known.value)
+            for at, first in _ends(runs, needed):
+                yield row(runs, at, first, needed, runs.hashes(first, needed))
+            for _, gap, left, at, first in _gaps(runs, needed, gaps.value):
+                if len(at):
+                    after = runs.hashes(first + left + gap, needed - left)
+                    yield row(runs, at, first, needed + gap, flat.mixed(runs.hashes(first, left) + flat.mixed(after + np.uint64(left))))
+
+    part = _with_several(rows.mapInArrow(broken, kinds), "passage-breaks")
+    hits = whole.union(part)
+    spans = hits.groupBy("short").agg(F.collect_list(F.struct("first", "last")).alias("starts")).mapInArrow(_merged(size), "short bigint, start int, end int")
+    links = hits.select("short", "low").filter("short != low").distinct()
+    short = nodes.select("node", "short")
+    low = short.select(F.col("node").alias("b"), F.col("short").alias("low"))
+    return spans.join(short, "short").select("node", "start", "end"), links.join(short, "short").join(low, "low").select(F.col("node").alias("a"), "b")
+
+
+def _sum_bit(a: str, b: str) -> Column:
+    """The bit of the sum of two 64-bit hashes."""
+    low = F.lit(bitmaps.BITS - 1)
+    return (F.col(a).bitwiseAND(low) + F.col(b).bitwiseAND(low)).bitwiseAND(low)
+
+
+def _merged(size: int):
+    """Spans in words of windows that begin from ``first`` to ``last``, given by node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for short, starts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                first, last = (starts.values.field(k).to_numpy() for k in range(2))
+                order = np.argsort(first)
+                first, reach = first[order], np.maximum.accumulate(last[order])
+                cuts = np.flatnonzero(first[1:] > reach[:-1] + 1)
+                out += [(short, int(first[a]), int(reach[b]) + size + WIDTH - 1) for a, b in zip(np.append(0, cuts + 1), np.append(cuts, len(first) - 1), strict=True)]
+            columns = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["short", "start", "end"])
+
+    return run
+
+
 def repeated_passages(
     docs: DataFrame, words: int = WORDS, percent: int = PERCENT, hashes: int = HASHES, context: int = CONTEXT,
     id_column: str = "doc_id", text_column: str = "text",
@@ -507,19 +740,9 @@ def repeated_passages(
         return _repeated_passages(docs, words, percent, hashes, context, id_column, text_column)
 
 
-def _repeated_passages(docs: DataFrame, words: int, percent: int, hashes: int, context: int, id_column: str, text_column: str) -> DataFrame:
-    size = words - WIDTH + 1
-    if size < 2 * context - 2:
-        raise ValueError("context must be at most half a passage")
-    context_ = docs.sparkSession.sparkContext
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    live = context_.broadcast(_live(rows, size, hashes, context))
-    measured = written(_measured(rows, docs.schema[id_column].dataType.simpleString(), size, hashes, context, live), "passages")
-    # Of equal texts one row is the node.
-    held = measured.filter(F.size("sigs") > 0)
-    nodes = written(held.groupBy("name").agg(F.min("row").alias("node")).withColumn("short", F.xxhash64("name")), "passage-nodes")
-    each = held.withColumnRenamed("row", "node").join(nodes.select("node"), "node", "left_semi")
-    each = each.select("node", "sigs", "places", "tokens")
+def _laid_windows(held: DataFrame, nodes: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Spans (node, start, end) and links (a, b) by surroundings laid one upon the other, and by exact windows."""
+    each = held.withColumnRenamed("row", "node").join(nodes.select("node"), "node", "left_semi").select("node", "sigs", "places", "tokens")
     places = written(each.mapInArrow(_postings(size), "sig bigint, around bigint, node bigint, place int"), "passage-places")
     same, exact = _exact(held, nodes, size)
     same = written(same, "passage-exact")
@@ -530,8 +753,28 @@ def _repeated_passages(docs: DataFrame, words: int, percent: int, hashes: int, c
     reach = found.select("a", "low", "high").union(found.select("b", "low", "high")).groupBy(F.col("a").alias("around")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
     mine = places.select("around", "node", "place").distinct().join(reach, "around")
     mine = mine.select("node", (F.col("place") + F.col("low")).alias("start"), (F.col("place") + F.col("high") + size + WIDTH - 1).alias("end"))
-    roots = components(links.union(exact))
-    mine = written(mine.union(same).distinct(), "passage-spans")
+    return mine.union(same).distinct(), links.union(exact)
+
+
+def _repeated_passages(docs: DataFrame, words: int, percent: int, hashes: int, context: int, id_column: str, text_column: str) -> DataFrame:
+    size = words - WIDTH + 1
+    if size < 2 * context - 2:
+        raise ValueError("context must be at most half a passage")
+    needed = -(-2 * size * percent // (100 + percent))
+    # One changed word is in WIDTH shingles; windows that two cannot tell apart share a run of half their shared tokens.
+    once = size - needed < 2 * WIDTH
+    run_size, hashes = (-(-needed // 2), 1) if once else (size, hashes)
+    context = min(context, run_size // 2 + 1)
+    context_ = docs.sparkSession.sparkContext
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
+    live = context_.broadcast(_live(rows, run_size, hashes, context))
+    measured = written(_measured(rows, docs.schema[id_column].dataType.simpleString(), size, run_size, hashes, context, live), "passages")
+    # Of equal texts one row is the node.
+    held = measured.filter(F.size("sigs") > 0)
+    nodes = written(held.groupBy("name").agg(F.min("row").alias("node")).withColumn("short", F.xxhash64("name")), "passage-nodes")
+    mine, links = _shared_windows(held, nodes, size, needed, run_size) if once else _laid_windows(held, nodes, size, percent)
+    mine = written(mine, "passage-spans")
+    roots = components(links)
     selves = held.filter("again").select(F.col("row").alias("node"), "tokens")
     by_node = mine.union(_repeats_inside(mine, selves, size)).groupBy("node").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
     long_ = measured.select("id", "n_words", "name").filter(F.col("n_words") >= words)
