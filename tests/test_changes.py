@@ -132,3 +132,19 @@ def test_a_change_of_the_same_age_beats_the_base_row(spark, folder):
         table.merge(changes)
         assert rows_of(table.read(spark), "k", "t", "v") == expected
     assert len(expected) == 30
+
+
+def test_a_bucket_is_written_by_several_tasks_and_moved_into_place(spark, folder, monkeypatch):
+    """One bucket is no longer one task, and what is written aside is not written again."""
+    remove = Folder.remove
+    monkeypatch.setattr(Folder, "remove", lambda self: None if self.path.endswith("__staging") else remove(self))
+    rows = spark.range(2000).selectExpr("id AS k", "0 AS t", "repeat(uuid(), 20) AS v")
+    table = CurrentTable(f"{folder}/t", ("k",), ("t",), buckets=1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        table.merge(rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(Folder(spark, f"{folder}/t/key_buckets=1/key_bucket=0").names()) > 1
+    assert Folder(spark, f"{folder}/t__staging").partition_values("key_bucket") == []
+    assert table.read(spark).count() == 2000

@@ -123,6 +123,12 @@ class ChangedRefresh:
         rows = spark.read.parquet(path)
         return None if rows.columns == ["none"] else rows
 
+    def _kept(self, rows: DataFrame, number: int, name: str) -> DataFrame:
+        """The rows, written once among the load's files: several jobs read them."""
+        path = f"{self.root}/changes/loads/{number}/{name}"
+        rows.write.mode("overwrite").parquet(path)
+        return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
     def apply(self, batches: dict[str, DataFrame], number: int) -> None:
         """Bring one load in: new versions of rows, by entity.  Numbers rise from load to load; the same one again repeats its load."""
         changed = {entity: self._changed(entity, batch, number) for entity, batch in batches.items()}
@@ -131,7 +137,7 @@ class ChangedRefresh:
 
     def _changed(self, entity: str, batch: DataFrame, number: int) -> DataFrame:
         """The cleaned rows of the load's keys, those before it with a minus."""
-        table, keys = self._entity(entity), batch.select(SPECS[entity].key).distinct()
+        table, keys = self._entity(entity), self._kept(batch.select(SPECS[entity].key).distinct(), number, f"{entity}-keys")
         before = self._before(table, keys, number, entity)
         table.merge(batch)
         signed = [(table.rows_of(keys), 1), *([] if before is None else [(before, -1)])]
@@ -142,7 +148,7 @@ class ChangedRefresh:
         if not parts:
             return
         spec, table = MARTS[mart], self._sums(mart)
-        delta = _summed(spec, reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), number)
+        delta = self._kept(_summed(spec, reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), number), number, f"{mart}-delta")
         before = self._before(table, delta.select(spec.key), number, mart)
         after = delta if before is None else _summed(spec, before.unionByName(delta, allowMissingColumns=True), number)
         table.merge(after)

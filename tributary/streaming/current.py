@@ -21,16 +21,16 @@ from tributary.sources.tables import KEY_BUCKET, KEY_BUCKETS, is_current, read_c
 from tributary.storage import Folder
 
 
-_INCOMING, _IS_CHANGE = "__incoming", "__is_change"
+_INCOMING, _IS_CHANGE, _PART = "__incoming", "__is_change", "__part"
 
 
 @dataclass(frozen=True)
 class CurrentTable:
     """A current-state table: where it is and which of a key's rows is newest.
 
-    ``buckets`` should make one bucket of the whole table a comfortable task,
-    some hundred MB; it cannot change later, and merging with another number is
-    an error.  If the rows carry a change operation, deleted keys stay in the
+    ``buckets`` is what a batch can leave untouched; it cannot change later, and
+    merging with another number is an error.  A bucket is written by as many
+    tasks as its size asks for.  If the rows carry a change operation, deleted keys stay in the
     files, marked, and are left out when read, so a late, older change cannot
     revive them.
     """
@@ -90,8 +90,12 @@ class CurrentTable:
             rows = spark.read.schema(rows.schema).parquet(self._incoming)
             rows = stored.filter(F.col(KEY_BUCKET).isin(numbers)).withColumn(_INCOMING, F.lit(0)).unionByName(rows)
         # One shuffle serves both the choice of the newest of a key's two rows and
-        # the write: a bucket is one task and one file.
-        return self._newest(rows.repartition(KEY_BUCKET), [KEY_BUCKET, *self.keys]).drop(_INCOMING)
+        # the write.  Few buckets are cut by further bits of the hash, so that all
+        # cores have work; small parts are merged by their real size.
+        parts = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
+        cut = F.pmod(F.shiftright(F.xxhash64(*self.keys), 32), F.lit(parts)).cast("int")
+        rows = rows.withColumn(_PART, cut).repartition(KEY_BUCKET, _PART)
+        return self._newest(rows, [KEY_BUCKET, _PART, *self.keys]).drop(_INCOMING, _PART)
 
     def _newest(self, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         """The rule of ``latest_changes``: of the same age, a change beats a base row.
@@ -118,20 +122,19 @@ class CurrentTable:
         """Replace the buckets that are written aside in full, if there are any.
 
         A run that died while replacing left them there, and the next run starts
-        by doing it again.  The mark of completeness goes first, so that a
-        half-removed folder is never taken for a full one.
+        by doing it again: buckets that are in place already are not there any
+        more.  The mark of completeness goes first, so that a half-removed folder
+        is never taken for a full one.
         """
         staged, complete = Folder(spark, self._staging), Folder(spark, f"{self._staging}/_SUCCESS")
         if not complete.exists():
             return
-        if staged.partition_values(KEY_BUCKET):
-            (
-                spark.read.parquet(self._staging)
-                .write.partitionBy(KEY_BUCKET)
-                .mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .parquet(self._content)
-            )
+        numbers = staged.partition_values(KEY_BUCKET)
+        if numbers:
+            Folder(spark, self._content).make()
+        for number in numbers:
+            Folder(spark, f"{self._content}/{KEY_BUCKET}={number}").remove()
+            Folder(spark, f"{self._staging}/{KEY_BUCKET}={number}").move_to(f"{self._content}/{KEY_BUCKET}={number}")
         complete.remove()
         staged.remove()
 
