@@ -125,3 +125,23 @@ def test_deleted_keys_leave_the_marts(spark, folder):
     gone = customers(spark, [2], 1).drop("version").selectExpr("*", "'D' AS change_op")
     following.apply({"customers": gone}, 1)
     assert rows_of(following.read(spark, "customer_summary"), "customer_id") == [(0,), (1,), (3,)]
+
+
+def test_a_batch_is_computed_once(spark, folder):
+    """The keys and the merge of a load read what one job has written."""
+    computed = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for batch in batches:
+            computed.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(20).selectExpr(
+        "id AS campaign_id", "'n' AS campaign_name", "'c' AS channel", "'2024-01-01' AS start_date", "'2024-01-02' AS end_date",
+        "CAST(1 AS DECIMAL(38,9)) AS budget", "'s' AS status",
+    )
+    following = ChangedRefresh(folder, ("campaign_summary",), {}, buckets=2)
+    for number in range(2):
+        following.apply({"campaigns": rows.mapInArrow(noted, rows.schema)}, number)
+        assert computed.value == 20 * (number + 1)
+    assert following.read(spark, "campaign_summary").count() == 20

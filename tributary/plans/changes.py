@@ -137,9 +137,12 @@ class ChangedRefresh:
 
     def _changed(self, entity: str, batch: DataFrame, number: int) -> DataFrame:
         """The cleaned rows of the load's keys, those before it with a minus."""
-        table, keys = self._entity(entity), self._kept(batch.select(SPECS[entity].key).distinct(), number, f"{entity}-keys")
+        table, path = self._entity(entity), f"{self.root}/changes/loads/{number}/{entity}-batch"
+        # A batch may be a costly query: one job computes it, the others read its newest row per key.
+        rows = table.arranged(batch, path)
+        keys = rows.select(SPECS[entity].key)
         before = self._before(table, keys, number, entity)
-        table.merge(batch)
+        table.merge(rows, number, path)
         signed = [(table.rows_of(keys), 1), *([] if before is None else [(before, -1)])]
         return reduce(DataFrame.unionByName, [_cleaned(rows, entity).withColumn(_SIGN, F.lit(sign)) for rows, sign in signed])
 

@@ -73,21 +73,28 @@ class CurrentTable:
     def _with_bucket(self, df: DataFrame) -> DataFrame:
         return df.withColumn(KEY_BUCKET, F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
 
-    def _merged(self, batch: DataFrame) -> DataFrame:
-        """The new content of the buckets that ``batch`` touches."""
+    def _incoming_rows(self, batch: DataFrame) -> DataFrame:
         spark = batch.sparkSession
-        stored = spark.read.parquet(self._content) if is_current(spark, self.path) else None
-        if stored is not None:
+        if is_current(spark, self.path):
             # Equal keys of different types would fall into different buckets.
-            batch = batch.withColumns({key: F.col(key).cast(stored.schema[key].dataType) for key in self.keys})
+            stored = spark.read.parquet(self._content).schema
+            batch = batch.withColumns({key: F.col(key).cast(stored[key].dataType) for key in self.keys})
         # One row per key before anything else: a hot key in the batch ends here.
-        rows = self._with_bucket(self._newest(batch.withColumn(_INCOMING, F.lit(1)), self.keys))
-        if stored is not None:
-            # Written by bucket, the batch is read once, and its folders name the buckets it touches.
-            rows.write.partitionBy(KEY_BUCKET).mode("overwrite").parquet(self._incoming)
+        return self._with_bucket(self._newest(batch.withColumn(_INCOMING, F.lit(1)), self.keys))
+
+    def arranged(self, batch: DataFrame, path: str) -> DataFrame:
+        """The newest row of each key in ``batch``, written by bucket to ``path`` for ``merge``: so it is computed once, whatever reads it."""
+        rows = self._incoming_rows(batch)
+        rows.write.partitionBy(KEY_BUCKET).mode("overwrite").parquet(path)
+        return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+    def _merged(self, rows: DataFrame, path: str) -> DataFrame:
+        """The new content of the buckets that arranged ``rows`` at ``path`` touch; their folders name these."""
+        spark = rows.sparkSession
+        if is_current(spark, self.path):
             # At most ``buckets`` small numbers; as literals they prune the scan.
-            numbers = [int(value) for value in Folder(spark, self._incoming).partition_values(KEY_BUCKET)]
-            rows = spark.read.schema(rows.schema).parquet(self._incoming)
+            numbers = [int(value) for value in Folder(spark, path).partition_values(KEY_BUCKET)]
+            stored = spark.read.parquet(self._content)
             rows = stored.filter(F.col(KEY_BUCKET).isin(numbers)).withColumn(_INCOMING, F.lit(0)).unionByName(rows)
         # One shuffle serves both the choice of the newest of a key's two rows and
         # the write.  Few buckets are cut by further bits of the hash, so that all
@@ -107,16 +114,26 @@ class CurrentTable:
         marked = rows.withColumn(_IS_CHANGE, F.col(CHANGE_OP).isNotNull().cast("int"))
         return latest_by_key(marked, keys, [*self.order_by, _IS_CHANGE], [*self.tie_break, _INCOMING]).drop(_IS_CHANGE)
 
-    def merge(self, batch: DataFrame, batch_id: int | None = None) -> None:
-        """Bring the rows of ``batch`` in.  The same batch again changes nothing."""
+    def merge(self, batch: DataFrame, batch_id: int | None = None, arranged_at: str | None = None) -> None:
+        """Bring the rows of ``batch`` in, which ``arranged`` may have written.  The same batch again changes nothing."""
         spark = batch.sparkSession
+        self._prepare(spark)
+        if arranged_at is not None:
+            self._replace(batch, arranged_at)
+            return
+        rows = self.arranged(batch, self._incoming) if is_current(spark, self.path) else self._incoming_rows(batch)
+        self._replace(rows, self._incoming)
+        Folder(spark, self._incoming).remove()
+
+    def _prepare(self, spark: SparkSession) -> None:
         there = Folder(spark, self.path).partition_values(KEY_BUCKETS)
         if there not in ([], [str(self.buckets)]):
             raise ValueError(f"{self.path} has {there[0]} buckets, not {self.buckets}")
         self._put_in_place(spark)
-        self._merged(batch).write.partitionBy(KEY_BUCKET).mode("overwrite").parquet(self._staging)
-        self._put_in_place(spark)
-        Folder(spark, self._incoming).remove()
+
+    def _replace(self, rows: DataFrame, path: str) -> None:
+        self._merged(rows, path).write.partitionBy(KEY_BUCKET).mode("overwrite").parquet(self._staging)
+        self._put_in_place(rows.sparkSession)
 
     def _put_in_place(self, spark: SparkSession) -> None:
         """Replace the buckets that are written aside in full, if there are any.
