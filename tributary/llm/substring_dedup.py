@@ -761,8 +761,8 @@ def _repeated_passages(docs: DataFrame, words: int, percent: int, hashes: int, c
     if size < 2 * context - 2:
         raise ValueError("context must be at most half a passage")
     needed = -(-2 * size * percent // (100 + percent))
-    # One changed word is in WIDTH shingles; windows that two cannot tell apart share a run of half their shared tokens.
-    once = size - needed < 2 * WIDTH
+    # A word put in is in WIDTH shingles and parts one less: where a window cannot differ by both, one run has half of what is shared.
+    once = size - needed < 2 * WIDTH - 1
     run_size, hashes = (-(-needed // 2), 1) if once else (size, hashes)
     context = min(context, run_size // 2 + 1)
     context_ = docs.sparkSession.sparkContext
