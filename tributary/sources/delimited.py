@@ -62,7 +62,8 @@ def problem(columns: Sequence[str], schema: StructType | None) -> Column:
     """What would make a record an error: too many cells, or one that does not fit its type; else null."""
     misfits = [
         F.when(
-            _present(field.name).isNotNull() & F.col(f"`{field.name}`").try_cast(field.dataType).isNull(),
+            # Most cells fit; whether one stands for a missing value is asked of the others only.
+            F.col(f"`{field.name}`").try_cast(field.dataType).isNull() & _present(field.name).isNotNull(),
             F.concat(F.lit(f"{field.name} is no {field.dataType.simpleString()}: "), F.col(f"`{field.name}`")),
         )
         for field in schema or ()
@@ -150,6 +151,11 @@ def file_headers(spark: SparkSession, paths: Sequence[str], encoding: str = ENCO
         return list(pool.map(header, paths))
 
 
+def _cut(line: Column) -> Column:
+    """Whether a line is not a whole record.  Only a quote or a carriage return can make it so: the pattern is for lines that hold one."""
+    return (line.contains('"') | line.contains("\r")) & ~line.rlike(_WHOLE_RECORD)
+
+
 def files_with_cut_records(spark: SparkSession, paths: Sequence[str]) -> set[str]:
     """The files in which some line is not a whole record, as qualified paths; one parallel job for all.
 
@@ -157,5 +163,5 @@ def files_with_cut_records(spark: SparkSession, paths: Sequence[str]) -> set[str
     by line, in parallel, gives what reading from the start gives.
     """
     lines = spark.read.option("lineSep", "\n").text(list(paths)).select("value", "_metadata.file_path")
-    cut = lines.filter(~F.col("value").rlike(_WHOLE_RECORD)).select("file_path").distinct()
+    cut = lines.filter(_cut(F.col("value"))).select("file_path").distinct()
     return {path_of_url(spark, row["file_path"]) for row in cut.collect()}
