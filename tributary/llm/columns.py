@@ -17,6 +17,9 @@ BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 IN_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 BLANKS = " \t\n\x0b\x0c\r"
 _REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of a batch of rows on its way to Python, or one row. Spark's own bound is 10,000 rows, of which each task holds several copies.
+BATCH_BYTES = 4 * 2**20
 
 
 def ascii_lower(text: Column) -> Column:
@@ -81,12 +84,31 @@ def passing(df: DataFrame, purpose: str) -> Iterator[DataFrame]:
 @contextmanager
 def shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """Within, the files of a job's shuffles go when the job has ended: for work that writes what it needs later."""
-    before = spark.conf.get(_REMOVE_SHUFFLES, None)
-    spark.conf.set(_REMOVE_SHUFFLES, "true")
+    with _setting(spark, _REMOVE_SHUFFLES, "true"):
+        yield
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within, rows go to Python in batches of ``BATCH_BYTES`` at most: for jobs that end within."""
+    with _setting(spark, _BATCH, str(BATCH_BYTES)):
+        yield
+
+
+def keep_batches_small(spark: SparkSession) -> None:
+    """From now on the same, unless the session has a bound of its own: for rows that are computed when they are read."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(_REMOVE_SHUFFLES)
+            spark.conf.unset(name)
         else:
-            spark.conf.set(_REMOVE_SHUFFLES, before)
+            spark.conf.set(name, before)

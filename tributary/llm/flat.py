@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2 * 2**20
+#: For operators that hold many arrays, or tables, beside a slice.
+SMALL_SLICE_BYTES = 2**19
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _powers = {}
@@ -33,7 +35,7 @@ def power(base: np.uint64, n: int) -> np.ndarray:
     """``base`` to the powers 0 .. n, modulo 2**64."""
     known = _powers.get(base)
     if known is None or len(known) <= n:
-        size = max(n + 1, SLICE_BYTES)
+        size = -(-(n + 1) // SMALL_SLICE_BYTES) * SMALL_SLICE_BYTES
         known = np.full(size, base, np.uint64)
         known[0] = 1
         known = np.multiply.accumulate(known)

@@ -29,6 +29,7 @@ shingles.
 What the driver handles is of fixed size: the counters (5 MB) and bitmaps of
 signatures that more than one document has and of nodes in pairs (8 MB each).
 None decides a result. Sets are read from the texts again, for nodes in pairs.
+Texts and pairs of sets reach Python in batches of some MB, however long they are.
 
 Defined results: rows are the documents, so rows that share an id are linked
 only if their texts are. A null or wordless text has an empty set, is linked
@@ -47,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm import bitmaps, flat
-from tributary.llm.columns import shuffles_removed, written
+from tributary.llm.columns import shuffles_removed, small_batches, written
 from tributary.llm.components import components
 
 WIDTH = 5
@@ -219,7 +220,7 @@ def _measured(rows: DataFrame, width: int, id_type: str) -> DataFrame:
         counters, any_rows, id_kind = np.zeros(COUNTERS + WORD_COUNTERS, np.uint32), False, None
         for batch in batches:
             any_rows, id_kind = True, batch.schema.field(0).type
-            for texts in flat.slices(batch.column(1)):
+            for texts in flat.slices(batch.column(1), flat.SMALL_SLICE_BYTES):
                 grams, bounds, _ = shingle_sets(texts, width)
                 counters[:COUNTERS] += np.bincount(_counter(grams), minlength=COUNTERS).astype(np.uint32)
                 counters[COUNTERS:] += np.bincount(_word_counter(_hashes(texts)[0]), minlength=WORD_COUNTERS).astype(np.uint32)
@@ -271,7 +272,7 @@ def _live(rows: DataFrame, width: int, percent: int, counters) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(counters.value, percent)
         for batch in batches:
-            for texts in flat.slices(batch.column(1)):
+            for texts in flat.slices(batch.column(1), flat.SMALL_SLICE_BYTES):
                 grams, bounds, by_chance = signer.sets(texts, width)
                 found = [signer.of(grams[a:b], by_chance[a:b])[0] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 sizes = np.array([len(f) for f in found], np.int64)
@@ -290,7 +291,7 @@ def _nodes(rows: DataFrame, width: int, percent: int, counters, live) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(counters.value, percent)
         for batch in batches:
-            for texts in flat.slices(batch.column(1)):
+            for texts in flat.slices(batch.column(1), flat.SMALL_SLICE_BYTES):
                 grams, bounds, by_chance = signer.sets(texts, width)
                 names, out, at = node_names(grams, bounds), [], []
                 for i in range(len(texts)):
@@ -316,7 +317,7 @@ def _sets(rows: DataFrame, width: int, pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in flat.slices(batch.column(1)):
+            for texts in flat.slices(batch.column(1), flat.SMALL_SLICE_BYTES):
                 grams, bounds, _ = shingle_sets(texts, width)
                 names = node_names(grams, bounds)
                 at = np.flatnonzero(bitmaps.holds_names(wanted.value, names))
@@ -383,7 +384,7 @@ def linked_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
     Sets are linked if 100 * intersection >= percent * union.
     """
-    with shuffles_removed(docs.sparkSession):
+    with shuffles_removed(docs.sparkSession), small_batches(docs.sparkSession):
         return _linked_classes(docs, width, percent, id_column, text_column)
 
 

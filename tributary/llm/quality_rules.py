@@ -295,7 +295,7 @@ def quality(docs: DataFrame, rules: QualityRules | None = None, id_column: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in flat.slices(batch.column(1)):
+            for texts in flat.slices(batch.column(1), flat.SMALL_SLICE_BYTES):
                 found = judge(texts, rules)
                 ids = batch.column(0).slice(texts.first, len(texts))
                 yield pa.RecordBatch.from_arrays(
@@ -315,7 +315,7 @@ def keep_good(docs: DataFrame, rules: QualityRules | None = None, text_column: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in flat.slices(batch.column(at)):
+            for texts in flat.slices(batch.column(at), flat.SMALL_SLICE_BYTES):
                 yield batch.slice(texts.first, len(texts)).filter(pa.array(judge(texts, rules)["kept"]))
 
     return docs.mapInArrow(run, docs.schema)
