@@ -2,6 +2,7 @@
 
 import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -96,3 +97,33 @@ def test_a_slice_takes_little_memory(monkeypatch, step):
         tracemalloc.stop()
     assert texts.nbytes > 3e6
     assert peak < 30e6
+
+
+def test_sketches_in_the_join_tell_the_same(spark):
+    """Sketches of one size, and one twice as long as the other; the bound keeps pairs from becoming rows."""
+    drawn = np.unique(np.random.default_rng(3).integers(0, 2**64, 3000, dtype=np.uint64))
+    pairs = [(drawn[:a], drawn[skip : skip + b]) for a in (1, 90, 250, 700) for b in (1, 99, 260, 800) for skip in (0, 20) if a < 2 * b and b < 2 * a]
+    sketches = [tuple(jaccard_join.parity_sketch(s) for s in pair) for pair in pairs]
+    assert {len(x) / len(y) for x, y in sketches} == {0.5, 1}
+    table = spark.createDataFrame([(k, *[s.view(np.int64).tolist() for s in pair]) for k, pair in enumerate(sketches)], "k int, x array<bigint>, y array<bigint>")
+    found = {r["k"]: r["d"] for r in table.select("k", jaccard_join._differing(F.col("x"), F.col("y")).alias("d")).collect()}
+    assert found == {k: jaccard_join.least_difference(x, y) for k, (x, y) in enumerate(sketches)}
+
+
+def test_a_group_below_the_threshold_makes_few_rows(monkeypatch, spark):
+    """Texts that share too little of a common part stay apart, and the last join has the sketches' bound in its own condition."""
+    shared = [f"common{k}" for k in range(60)]
+    texts = [" ".join(shared[(7 * i) % 20 :][:40] + [f"own{i}x{k}" for k in range(60)]) for i in range(90)]
+    texts += [texts[0] + " end", texts[1] + " end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    plans, write = [], jaccard_join.written
+
+    def noted(df, purpose):
+        if purpose == "pairs":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, purpose)
+
+    monkeypatch.setattr(jaccard_join, "written", noted)
+    classes = {r["doc_id"]: r["component_id"] for r in jaccard_join.linked_classes(docs).collect()}
+    assert classes == {i: {90: 0, 91: 1}.get(i, i) for i in range(92)}
+    assert any("Join Inner" in line and "bit_count" in line for line in plans[-1].splitlines())

@@ -44,7 +44,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm import bitmaps, flat
@@ -299,14 +299,14 @@ def _nodes(rows: DataFrame, width: int, percent: int, counters, live) -> DataFra
                     signatures, places, rare = signer.of(own, by_chance[bounds[i] : bounds[i + 1]])
                     held = bitmaps.holds(live.value, signatures)
                     if held.any():
-                        out.append((len(own), rare, signatures[held].view(np.int64), places[held], parity_sketch(own).tobytes()))
+                        out.append((len(own), rare, signatures[held].view(np.int64), places[held], parity_sketch(own).view(np.int64)))
                         at.append(i)
                 if out:
-                    kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
+                    kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
                     arrays = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
                     yield pa.RecordBatch.from_arrays([bitmaps.as_binary(names[at]), *arrays], names=["node", "n", "rare", "sigs", "places", "sketch"])
 
-    schema = "node binary, n int, rare int, sigs array<bigint>, places array<int>, sketch binary"
+    schema = "node binary, n int, rare int, sigs array<bigint>, places array<int>, sketch array<bigint>"
     return rows.mapInArrow(run, schema).dropDuplicates(["node"])
 
 
@@ -337,7 +337,7 @@ def _near_enough(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for n, left, right in zip(batch.column(2).to_numpy(), batch.column(3), batch.column(4), strict=True):
-                differ = least_difference(np.frombuffer(left.as_buffer(), np.uint8), np.frombuffer(right.as_buffer(), np.uint8))
+                differ = least_difference(*[sketch.values.to_numpy().view(np.uint8) for sketch in (left, right)])
                 keep.append((100 + percent) * differ <= (100 - percent) * int(n))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -371,12 +371,25 @@ def _possible(percent: int, x: str, y: str):
     return (100 * F.least(n_x, n_y) >= percent * F.greatest(n_x, n_y)) & ((100 + percent) * most >= percent * (n_x + n_y))
 
 
-def _with_firsts(postings: DataFrame) -> DataFrame:
-    """Postings, each with the first signatures of its node by place, an order that is the same for all nodes."""
+def _differing(x: Column, y: Column) -> Column:
+    """``least_difference`` of two sketches of which none is more than twice as long as the other: so it is if their lengths are possible."""
+    size = F.least(F.size(x), F.size(y))
+
+    def folded(sketch: Column) -> Column:
+        halves = F.zip_with(F.slice(sketch, F.lit(1), size), F.slice(sketch, size + 1, size), lambda a, b: a.bitwiseXOR(b))
+        return F.when(F.size(sketch) > size, halves).otherwise(sketch)
+
+    bits = F.zip_with(folded(x), folded(y), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    return F.aggregate(bits, F.lit(0), lambda total, n: total + n)
+
+
+def _with_firsts(postings: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Postings, each with its node's sketch and first signatures by place, an order that is the same for all nodes."""
     places = F.sort_array(F.collect_list(F.struct("place", "sig")))
     whole = postings.groupBy("node", "n", "root").agg(places.alias("places"))
     whole = whole.withColumn("firsts", F.transform(F.slice("places", 1, FIRSTS), lambda p: p["sig"]))
-    return whole.select("node", "n", "root", "firsts", F.explode("places").alias("p")).select("node", "n", "root", "firsts", "p.sig", "p.place")
+    whole = whole.join(nodes.select("node", "sketch"), "node")
+    return whole.select("node", "n", "root", "sketch", "firsts", F.explode("places").alias("p")).select("node", "n", "root", "sketch", "firsts", "p.sig", "p.place")
 
 
 def linked_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -413,13 +426,15 @@ def _linked_classes(docs: DataFrame, width: int, percent: int, id_column: str, t
     placed = written(placed, "shingle-nodes").select("node", "n", "root", F.explode(F.arrays_zip("sigs", "places")).alias("x"))
     placed = placed.select("node", "n", "root", F.col("x.sigs").alias("sig"), F.col("x.places").alias("place"))
     open_ = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("sig")
-    rest = _with_firsts(placed.join(open_, "sig", "left_semi"))
+    rest = _with_firsts(placed.join(open_, "sig", "left_semi"), nodes)
     rest = written(rest, "postings")
     # A pair comes out under the first signature that both have, if that is among the first of both; else under each.
     first = F.coalesce(F.get(F.array_intersect("x.firsts", "y.firsts"), F.lit(0)) == F.col("x.sig"), F.lit(True))
-    cross = rest.alias("x").join(rest.alias("y"), "sig").filter((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _possible(percent, "x", "y") & first)
+    # Of a large group of near copies below the threshold, sketches reject most pairs before they become rows.
+    near = (100 + percent) * _differing(F.col("x.sketch"), F.col("y.sketch")) <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
+    cross = rest.alias("x").join(rest.alias("y"), "sig").filter((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _possible(percent, "x", "y") & first & near)
     cross = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    new = written(_near_enough(cross, nodes, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+    new = written(cross.join(tried, ["a", "b"], "left_anti"), "pairs")
     if not new.isEmpty():
         roots = components(links.union(written(_verified(new, rows, width, percent), "links")))
 
