@@ -121,6 +121,11 @@ def parity_sketch(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little")
 
 
+def mark(sketch: np.ndarray) -> np.ndarray:
+    """A sketch folded to the fewest bits, as 64-bit values: of one size for all sets, so that postings of long documents stay short."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, SKETCH_BITS // 8), axis=0).view(np.int64)
+
+
 def least_difference(left: np.ndarray, right: np.ndarray) -> int:
     """A lower bound of the tokens that two sets do not share, by their sketches: each such token turns one bit."""
     size = min(len(left), len(right))
@@ -286,7 +291,7 @@ def _live(rows: DataFrame, width: int, percent: int, counters) -> np.ndarray:
 
 
 def _nodes(rows: DataFrame, width: int, percent: int, counters, live) -> DataFrame:
-    """Nodes with a live signature: size, rare tokens, signatures and their places, and a parity sketch."""
+    """Nodes with a live signature: size, rare tokens, signatures and their places, a parity sketch and its mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(counters.value, percent)
@@ -299,14 +304,15 @@ def _nodes(rows: DataFrame, width: int, percent: int, counters, live) -> DataFra
                     signatures, places, rare = signer.of(own, by_chance[bounds[i] : bounds[i + 1]])
                     held = bitmaps.holds(live.value, signatures)
                     if held.any():
-                        out.append((len(own), rare, signatures[held].view(np.int64), places[held], parity_sketch(own).view(np.int64)))
+                        sketch = parity_sketch(own)
+                        out.append((len(own), rare, signatures[held].view(np.int64), places[held], sketch.tobytes(), mark(sketch)))
                         at.append(i)
                 if out:
-                    kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+                    kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()))
                     arrays = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays([bitmaps.as_binary(names[at]), *arrays], names=["node", "n", "rare", "sigs", "places", "sketch"])
+                    yield pa.RecordBatch.from_arrays([bitmaps.as_binary(names[at]), *arrays], names=["node", "n", "rare", "sigs", "places", "sketch", "mark"])
 
-    schema = "node binary, n int, rare int, sigs array<bigint>, places array<int>, sketch array<bigint>"
+    schema = "node binary, n int, rare int, sigs array<bigint>, places array<int>, sketch binary, mark array<bigint>"
     return rows.mapInArrow(run, schema).dropDuplicates(["node"])
 
 
@@ -337,7 +343,7 @@ def _near_enough(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for n, left, right in zip(batch.column(2).to_numpy(), batch.column(3), batch.column(4), strict=True):
-                differ = least_difference(*[sketch.values.to_numpy().view(np.uint8) for sketch in (left, right)])
+                differ = least_difference(np.frombuffer(left.as_buffer(), np.uint8), np.frombuffer(right.as_buffer(), np.uint8))
                 keep.append((100 + percent) * differ <= (100 - percent) * int(n))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -372,24 +378,17 @@ def _possible(percent: int, x: str, y: str):
 
 
 def _differing(x: Column, y: Column) -> Column:
-    """``least_difference`` of two sketches of which none is more than twice as long as the other: so it is if their lengths are possible."""
-    size = F.least(F.size(x), F.size(y))
-
-    def folded(sketch: Column) -> Column:
-        halves = F.zip_with(F.slice(sketch, F.lit(1), size), F.slice(sketch, size + 1, size), lambda a, b: a.bitwiseXOR(b))
-        return F.when(F.size(sketch) > size, halves).otherwise(sketch)
-
-    bits = F.zip_with(folded(x), folded(y), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
-    return F.aggregate(bits, F.lit(0), lambda total, n: total + n)
+    """``least_difference`` of two marks."""
+    return sum(F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(SKETCH_BITS // 64))
 
 
 def _with_firsts(postings: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Postings, each with its node's sketch and first signatures by place, an order that is the same for all nodes."""
+    """Postings, each with its node's mark and first signatures by place, an order that is the same for all nodes."""
     places = F.sort_array(F.collect_list(F.struct("place", "sig")))
     whole = postings.groupBy("node", "n", "root").agg(places.alias("places"))
     whole = whole.withColumn("firsts", F.transform(F.slice("places", 1, FIRSTS), lambda p: p["sig"]))
-    whole = whole.join(nodes.select("node", "sketch"), "node")
-    return whole.select("node", "n", "root", "sketch", "firsts", F.explode("places").alias("p")).select("node", "n", "root", "sketch", "firsts", "p.sig", "p.place")
+    whole = whole.join(nodes.select("node", "mark"), "node")
+    return whole.select("node", "n", "root", "mark", "firsts", F.explode("places").alias("p")).select("node", "n", "root", "mark", "firsts", "p.sig", "p.place")
 
 
 def linked_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -430,11 +429,11 @@ def _linked_classes(docs: DataFrame, width: int, percent: int, id_column: str, t
     rest = written(rest, "postings")
     # A pair comes out under the first signature that both have, if that is among the first of both; else under each.
     first = F.coalesce(F.get(F.array_intersect("x.firsts", "y.firsts"), F.lit(0)) == F.col("x.sig"), F.lit(True))
-    # Of a large group of near copies below the threshold, sketches reject most pairs before they become rows.
-    near = (100 + percent) * _differing(F.col("x.sketch"), F.col("y.sketch")) <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
+    # Of a large group of near copies below the threshold, marks reject most pairs before they become rows.
+    near = (100 + percent) * _differing(F.col("x.mark"), F.col("y.mark")) <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
     cross = rest.alias("x").join(rest.alias("y"), "sig").filter((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _possible(percent, "x", "y") & first & near)
     cross = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    new = written(cross.join(tried, ["a", "b"], "left_anti"), "pairs")
+    new = written(_near_enough(cross, nodes, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
     if not new.isEmpty():
         roots = components(links.union(written(_verified(new, rows, width, percent), "links")))
 
